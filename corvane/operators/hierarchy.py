@@ -52,7 +52,7 @@ def _compress(ids: np.ndarray, ups: np.ndarray) -> pd.DataFrame:
     rooted = np.zeros(m, bool)
     rooted[me[~has]] = True
     state = np.where(circle[me], "C", np.where(rooted[jump[me]], "R", "O"))
-    anc = np.where(circle[me], low[jump[me]] % max(m, 1), jump[me])
+    anc = np.where(circle[me], low[jump[me]], jump[me])
     return pd.DataFrame({"id": ids, "anc": names[anc] if n else [], "off": np.where(circle[me], -1, off[me]).astype(np.int32), "low": names[np.where(low[me] < m, low[me], me)] if n else [], "state": state})
 
 
