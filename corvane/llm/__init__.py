@@ -1,5 +1,5 @@
 """Operators for problems of training data; nothing else in the library imports them."""
 
-from corvane.llm import cooccurrence_queries, tokenize_queries, visual_queries
+from corvane.llm import cooccurrence_queries, survivor_queries, tokenize_queries, visual_queries
 
-QUERY_MODULES = [cooccurrence_queries, visual_queries, tokenize_queries]
+QUERY_MODULES = [survivor_queries, cooccurrence_queries, visual_queries, tokenize_queries]
