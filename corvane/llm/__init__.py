@@ -1,5 +1,5 @@
 """Operators for problems of training data; nothing else in the library imports them."""
 
-from corvane.llm import cooccurrence_queries, survivor_queries, tokenize_queries, variant_queries, visual_queries
+from corvane.llm import cooccurrence_queries, linkage_queries, survivor_queries, tokenize_queries, variant_queries, visual_queries
 
-QUERY_MODULES = [variant_queries, survivor_queries, cooccurrence_queries, visual_queries, tokenize_queries]
+QUERY_MODULES = [variant_queries, linkage_queries, survivor_queries, cooccurrence_queries, visual_queries, tokenize_queries]
