@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts and signs that have the shape of the letter before the colon.
-_LOOK_ALIKES = {
+LOOK_ALIKES = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "ΝՆ",
     "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
     "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іı", "j": "јϳ", "l": "ӏ", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υս", "v": "ѵν", "w": "ԝ", "x": "хх", "y": "уγ",
@@ -34,7 +34,7 @@ def _character_maps() -> tuple[dict[str, str], dict[str, str], str]:
     plain.pop(" ", None)
     plain |= dict.fromkeys(_DASHES, "-")
     gone = "".join(map(chr, _INKLESS))
-    shapes = {x: shape for shape, others in _LOOK_ALIKES.items() for x in others}
+    shapes = {x: shape for shape, others in LOOK_ALIKES.items() for x in others}
     return {x: y for x, y in plain.items() if x not in gone}, shapes, gone
 
 
