@@ -33,7 +33,7 @@ def search_tiers(spark, folder):
 
 def search_fuzzy(spark, folder):
     """Hits with typing errors."""
-    return _searched(spark, folder, "smal rign").select("p_partkey", F.col("match.kind").alias("kind"), F.col("match.score").alias("score"))
+    return _searched(spark, folder, "smal rimg").select("p_partkey", F.col("match.kind").alias("kind"), F.col("match.score").alias("score"))
 
 
 def search_best_hit(spark, folder):
@@ -276,7 +276,7 @@ QUERIES = {
 }
 SQL = {
     "search_tiers": _hit("small") + "SELECT p_partkey, kind, score FROM b",
-    "search_fuzzy": _hit("smal rign") + "SELECT p_partkey, kind, score FROM b",
+    "search_fuzzy": _hit("smal rimg") + "SELECT p_partkey, kind, score FROM b",
     "search_best_hit": _hit("brand#1") + "SELECT b.p_partkey, place, kind, CASE place WHEN 1 THEN p_brand WHEN 2 THEN p_type END AS label FROM b JOIN part USING (p_partkey)",
     "search_boolean": _hit("blue") + "SELECT p_partkey FROM b",
     "sort_relevance_top": _hit("ring") + "SELECT b.p_partkey, score FROM b JOIN part USING (p_partkey) ORDER BY score DESC, p_retailprice DESC, p_partkey LIMIT 50",
