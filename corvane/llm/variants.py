@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected
+from corvane.llm.filters import passes, text_filter, text_hashes
 from corvane.llm.names import Parts, clean, deletions, is_han, kana_to_latin, parse, reading
 from corvane.session import cut_lineage
 
@@ -148,26 +150,34 @@ def slips(p: Parts, first: tuple[str | None, str | None], second: tuple[str | No
     return {"D" + "|".join(sorted((x, y))) for x in deletions(a) for y in deletions(b)} if len(a) > 2 and len(b) > 1 else set()
 
 
-def _emit(kind: str, key: str):
+def kept(rows: list[tuple[str, str, str]], key: str, keep: Broadcast | None) -> pd.DataFrame:
+    """Rows (key, form, side) whose forms may be wanted."""
+    if keep is not None and rows:
+        wanted = passes(keep.value, text_hashes([r[1] for r in rows]))
+        rows = [r for r, w in zip(rows, wanted.tolist(), strict=True) if w]
+    return pd.DataFrame(rows, columns=[key, "form", "side"])
+
+
+def _emit(kind: str, key: str, keep: Broadcast | None):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = lambda x: None if x is None or x != x else x
         for b in batches:
             rows: list[tuple[str, str, str]] = []
-            none = lambda x: None if x is None or x != x else x
             for k, kd, f, s, o, ff, fg, sf, sg in zip(b[key], b["kind"], b["first"], b["second"], b["order"], b["first_f"], b["first_g"], b["second_f"], b["second_g"], strict=True):
                 p, one, two = Parts(kd, f, s, o), (none(ff), none(fg)), (none(sf), none(sg))
                 if kind == "rewritings":
                     rows += [(k, form, side) for form, side in rewritings(p, one, two).items()]
                 elif kd == "full":
                     rows += [(k, form, "b") for form in slips(p, one, two)]
-            yield pd.DataFrame(rows, columns=[key, "form", "side"])
+            yield kept(rows, key, keep)
 
     return make
 
 
-def name_forms(names: DataFrame, key: str, kind: str = "rewritings") -> DataFrame:
-    """(`key`, `form`, `side`) of all names; `kind` is rewritings or slips."""
+def name_forms(names: DataFrame, key: str, kind: str = "rewritings", keep: Broadcast | None = None) -> DataFrame:
+    """(`key`, `form`, `side`) of all names; `kind` is rewritings or slips. With a filter, forms that nobody wants aren't made."""
     shape = f"{key} string, form string, side string"
-    return names.mapInPandas(_emit(kind, key), shape).groupBy(key, "form").agg(F.max("side").alias("side"), F.min("side").alias("_low")).select(key, "form", F.when(F.col("side") == F.col("_low"), F.col("side")).otherwise("b").alias("side"))
+    return names.mapInPandas(_emit(kind, key, keep), shape).groupBy(key, "form").agg(F.max("side").alias("side"), F.min("side").alias("_low")).select(key, "form", F.when(F.col("side") == F.col("_low"), F.col("side")).otherwise("b").alias("side"))
 
 
 # --- evidence besides the name ------------------------------------------------------------------------
@@ -273,8 +283,9 @@ def variant_groups(names: DataFrame, entities: DataFrame) -> DataFrame:
     forms = cut_lineage(name_forms(names, "entity"))
     ruled = strongest(candidates(forms, known))
     linked = ruled.select(F.col("a").alias("entity")).unionByName(ruled.select(F.col("b").alias("entity"))).distinct()
-    alone = names.where("latin and kind = 'full'").select("entity").distinct().join(linked, "entity", "left_anti").withColumn("_alone", F.lit(True))
-    slipped = name_forms(names, "entity", "slips").join(alone, "entity", "left").withColumn("side", F.when(F.col("_alone"), "t").otherwise("x")).drop("_alone")
-    wanted = slipped.where("side = 't'").select("form").distinct()
-    near = strongest(candidates(slipped.join(wanted, "form", "left_semi"), known))
+    alone = names.where("latin and kind = 'full'").select("entity").distinct().join(linked, "entity", "left_anti")
+    alone = cut_lineage(alone)
+    searching = cut_lineage(name_forms(names.join(alone, "entity", "left_semi"), "entity", "slips").withColumn("side", F.lit("t")))
+    offered = name_forms(names.join(alone, "entity", "left_anti"), "entity", "slips", text_filter(searching.select("form"))).withColumn("side", F.lit("x"))
+    near = strongest(candidates(searching.unionByName(offered), known))
     return connected(ruled.unionByName(near).select("a", "b"))
