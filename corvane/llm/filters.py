@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,11 +42,11 @@ def text_hashes(values: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(v) for v in values), np.uint64, len(values))
 
 
-def text_filter(values: DataFrame) -> Broadcast:
+def text_filter(values: DataFrame, hashes: Callable[[list[str]], np.ndarray] = text_hashes) -> Broadcast:
     """The filter of a column of texts."""
 
     def bit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"bit": (text_hashes(b.iloc[:, 0].tolist()).view(np.int64) % BITS).astype(np.int64)})
+            yield pd.DataFrame({"bit": (hashes(b.iloc[:, 0].tolist()).view(np.int64) % BITS).astype(np.int64)})
 
     return filter_of(values.mapInPandas(bit, "bit long"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -140,20 +142,45 @@ def rewritings(p: Parts, first: tuple[str | None, str | None], second: tuple[str
     return out
 
 
-def slips(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None]) -> set[str]:
+@lru_cache(maxsize=100_000)
+def _deleted(word: str) -> tuple[list[str], np.ndarray]:
+    each = sorted(deletions(word))
+    return each, text_hashes(each)
+
+
+def _joint(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One hash for two, in either order."""
+    return (x ^ y) * np.uint64(0x9E3779B97F4A7C15) + x + y
+
+
+def form_hashes(forms: list[str]) -> np.ndarray:
+    """The hash by which the filter knows a form; that of a slip form is made of its two parts' hashes."""
+    out = text_hashes(forms)
+    two = [i for i, f in enumerate(forms) if f.startswith("D")]
+    if two:
+        parts = text_hashes([p for i in two for p in forms[i][1:].split("|", 1)])
+        out[two] = _joint(parts[0::2], parts[1::2])
+    return out
+
+
+def slips(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None], keep: np.ndarray | None = None) -> list[str]:
     """Forms that a full name shares with another whose parts are each at most one slip of a letter away, in either order."""
     f, g = (p.first, p.second) if p.order != "G" else (p.second, p.first)
     rf, rg = (_sound(f, first[0]), _sound(g, second[1])) if p.order != "G" else (_sound(f, second[0]), _sound(g, first[1]))
     if not rf or not rg:
-        return set()
+        return []
     a, b = reading(rf), reading(rg)
-    return {"D" + "|".join(sorted((x, y))) for x in deletions(a) for y in deletions(b)} if len(a) > 2 and len(b) > 1 else set()
+    if len(a) < 3 or len(b) < 2:
+        return []
+    (xs, hx), (ys, hy) = _deleted(a), _deleted(b)
+    wanted = np.ones((len(xs), len(ys)), bool) if keep is None else passes(keep, _joint(hx[:, None], hy[None, :]))
+    return ["D" + "|".join(sorted((xs[i], ys[j]))) for i, j in zip(*np.nonzero(wanted), strict=True)]
 
 
 def kept(rows: list[tuple[str, str, str]], key: str, keep: Broadcast | None) -> pd.DataFrame:
     """Rows (key, form, side) whose forms may be wanted."""
     if keep is not None and rows:
-        wanted = passes(keep.value, text_hashes([r[1] for r in rows]))
+        wanted = passes(keep.value, form_hashes([r[1] for r in rows]))
         rows = [r for r, w in zip(rows, wanted.tolist(), strict=True) if w]
     return pd.DataFrame(rows, columns=[key, "form", "side"])
 
@@ -168,8 +195,8 @@ def _emit(kind: str, key: str, keep: Broadcast | None):
                 if kind == "rewritings":
                     rows += [(k, form, side) for form, side in rewritings(p, one, two).items()]
                 elif kd == "full":
-                    rows += [(k, form, "b") for form in slips(p, one, two)]
-            yield kept(rows, key, keep)
+                    rows += [(k, form, "b") for form in slips(p, one, two, None if keep is None else keep.value)]
+            yield kept(rows, key, keep if kind == "rewritings" else None)
 
     return make
 
@@ -286,6 +313,6 @@ def variant_groups(names: DataFrame, entities: DataFrame) -> DataFrame:
     alone = names.where("latin and kind = 'full'").select("entity").distinct().join(linked, "entity", "left_anti")
     alone = cut_lineage(alone)
     searching = cut_lineage(name_forms(names.join(alone, "entity", "left_semi"), "entity", "slips").withColumn("side", F.lit("t")))
-    offered = name_forms(names.join(alone, "entity", "left_anti"), "entity", "slips", text_filter(searching.select("form"))).withColumn("side", F.lit("x"))
+    offered = name_forms(names.join(alone, "entity", "left_anti"), "entity", "slips", text_filter(searching.select("form"), form_hashes)).withColumn("side", F.lit("x"))
     near = strongest(candidates(searching.unionByName(offered), known))
     return connected(ruled.unionByName(near).select("a", "b"))
