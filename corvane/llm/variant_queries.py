@@ -23,8 +23,9 @@ def people_names(rows: DataFrame, spark: SparkSession, folder: str, forms: dict[
     """The typed names of each entity with readings, and the dictionary of readings."""
     long = rows.select("entity", F.explode(F.array("primary_name", "name_ja", "name_zh", "name_en")).alias("name")).where("name is not null")
     names = cut_lineage(typed_names(long.distinct(), "entity", "name", forms).distinct())
-    aliases = table(spark, folder, "person_aliases", "person_id", "name").distinct().join(rows.select("id", "entity").distinct(), F.col("person_id") == F.col("id")).select("entity", "name")
-    # a full name in kana or letters among the aliases tells how the name in characters is read
+    letters = ~F.col("name").rlike("[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}]")
+    aliases = table(spark, folder, "person_aliases", "person_id", "name").where(letters).distinct().join(rows.select("id", "entity").distinct(), F.col("person_id") == F.col("id")).select("entity", "name")
+    # a full name in letters among the aliases tells how the name in characters is read
     heard = typed_names(aliases, "entity", "name", forms).where("kind = 'full' and latin")
     dictionary = cut_lineage(reading_dictionary(names.unionByName(heard), "entity"))
     return cut_lineage(with_readings(names, dictionary)), dictionary

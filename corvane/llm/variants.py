@@ -185,16 +185,22 @@ def kept(rows: list[tuple[str, str, str]], key: str, keep: Broadcast | None) ->
     return pd.DataFrame(rows, columns=[key, "form", "side"])
 
 
+def parts_of(b: pd.DataFrame, key: str) -> Iterator[tuple[str, Parts, tuple[str | None, str | None], tuple[str | None, str | None], bool]]:
+    """(key, parts, readings of the first part, of the second, whether in Latin letters) of each typed name of a batch."""
+    columns = ("kind", "first", "second", "order", "first_f", "first_g", "second_f", "second_g", "latin")
+    none = lambda x: None if x is None or x != x else x
+    for k, kind, f, s, o, ff, fg, sf, sg, latin in zip(b[key], *[b[c] for c in columns], strict=True):
+        yield k, Parts(kind, f, s, o), (none(ff), none(fg)), (none(sf), none(sg)), bool(latin)
+
+
 def _emit(kind: str, key: str, keep: Broadcast | None):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = lambda x: None if x is None or x != x else x
         for b in batches:
             rows: list[tuple[str, str, str]] = []
-            for k, kd, f, s, o, ff, fg, sf, sg in zip(b[key], b["kind"], b["first"], b["second"], b["order"], b["first_f"], b["first_g"], b["second_f"], b["second_g"], strict=True):
-                p, one, two = Parts(kd, f, s, o), (none(ff), none(fg)), (none(sf), none(sg))
+            for k, p, one, two, _ in parts_of(b, key):
                 if kind == "rewritings":
                     rows += [(k, form, side) for form, side in rewritings(p, one, two).items()]
-                elif kd == "full":
+                elif p.kind == "full":
                     rows += [(k, form, "b") for form in slips(p, one, two, None if keep is None else keep.value)]
             yield kept(rows, key, keep if kind == "rewritings" else None)
 
