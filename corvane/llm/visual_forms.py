@@ -39,8 +39,8 @@ def _character_maps() -> tuple[dict[str, str], dict[str, str], str]:
 
 
 _PLAIN, _SHAPES, _GONE = _character_maps()
-#: Base and mark that NFC would join; joined here where the pair has a look-alike form of its own.
-_MARKED = {unicodedata.normalize("NFD", x): y for x, y in _SHAPES.items() if len(unicodedata.normalize("NFD", x)) == 2}
+#: Base and mark, of bases that have a look-alike, with the sign that both make: joined before the base is mapped.
+_MARKED = {unicodedata.normalize("NFD", c): c for c in map(chr, range(0x3041, 0x3100)) if len(unicodedata.normalize("NFD", c)) == 2 and unicodedata.normalize("NFD", c)[0] in _SHAPES}
 
 
 def readable_form(text: Column) -> Column:
@@ -56,10 +56,10 @@ def look_alike_form(readable: Column) -> Column:
 
     Combining marks stay: canonically equal sequences are made equal by the collation under which forms are compared.
     """
-    mapped = F.translate(readable, "".join(_SHAPES), "".join(_SHAPES.values()))
-    for pair, shape in _MARKED.items():
-        mapped = F.replace(mapped, F.lit(pair), F.lit(shape))
-    return mapped
+    joined = readable
+    for pair, sign in _MARKED.items():
+        joined = F.replace(joined, F.lit(pair), F.lit(sign))
+    return F.translate(joined, "".join(_SHAPES), "".join(_SHAPES.values()))
 
 
 def visual_classes(values: DataFrame, scope: list[str], text: str) -> DataFrame:
