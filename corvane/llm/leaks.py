@@ -211,7 +211,7 @@ def leaked_passages(documents: DataFrame, key: str, text: str, items: DataFrame,
             hit = text_no[at]
             starts = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1]]) if len(hit) else np.zeros(0, int)
             short = _short(codes)
-            rows = [(keys[n], short[begin[n] : begin[n + 1]], h[s:e], (at[s:e] - begin[n]).astype(np.int32)) for n, s, e in zip(hit[starts], starts, np.r_[starts[1:], len(hit)], strict=True)]
+            rows = [(keys[n], short[begin[n] : begin[n + 1]], h[s:e], (at[s:e] - begin[n]).astype(np.int32)) for n, s, e in zip(hit[starts], starts, np.r_[starts[1:], len(hit)][: len(starts)], strict=True)]
             yield pd.DataFrame(rows, columns=["doc", "codes", "hashes", "places"])
 
     read = documents.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
