@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corvane.llm.visual_forms import LOOK_ALIKES
 
 #: Labelled documents that the model is fitted on at most; of more, those with the smallest hash of their id.
-LABELLED_DOCUMENTS = 20_000
+LABELLED_DOCUMENTS = 8_000
 #: Strength of the Dirichlet prior: pseudo-documents that follow the corpus.
 PRIOR = 5.0
 #: Bounds of a token's log-odds, the least deviation of its count in standard deviations, and what every position costs.
