@@ -10,8 +10,8 @@ from corvane.operators.ranking import with_position
 from corvane.sources.catalog_source import Tables
 
 # Texts and labels of the views.
-NO_MAKER, NO_SYNOPSIS, NO_BIOGRAPHY = "发行方待确认", "简介待补充。", "简介待补充。"
-NO_EVENT_DETAIL, NO_DATE = "资料待补充", "1900-01-01"
+NO_MAKER, NO_SYNOPSIS, NO_BIOGRAPHY = "发行方待确认", "暂无公开简介。", "暂无公开简介。"
+NO_EVENT_DETAIL, NO_DATE = "公开职业活动记录", "1900-01-01"
 MEDIA = {"digital": "数字发行", "physical": "实体发行"}
 NO_MEDIUM = "介质待确认"
 EVENTS = {"debut": "出道", "retirement": "引退", "comeback": "复出"}

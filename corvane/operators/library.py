@@ -7,13 +7,15 @@ favourite or has a note; `place` orders favourites and is NULL for others.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The format of library documents.
-FORMAT, VERSION = "averia-local-library", 1
+#: The format name that documents are written with; others may be accepted by name when parsing.
+FORMAT, VERSION = "local-library", 1
 TYPES = ("person", "work")
 SCHEMA = "entity_type string, entity_id string, favorite boolean, place int, tags array<string>, note string"
 EMPTY: dict[str, Any] = {"version": VERSION, "favorites": {"people": [], "works": []}, "annotations": {}}
@@ -45,13 +47,13 @@ def read_stored(text: str | None) -> dict[str, Any]:
         return normalize_stored(None)
 
 
-def parse_export(text: str) -> dict[str, Any]:
-    """An exported document, checked throughout. An error names the first bad item, counted from 1."""
+def parse_export(text: str, formats: Sequence[str] = (FORMAT,)) -> dict[str, Any]:
+    """An exported document of one of the accepted formats, checked throughout. An error names the first bad item, counted from 1."""
     try:
         doc = json.loads(text)
     except ValueError as e:
         raise ValueError("not a JSON document") from e
-    if not isinstance(doc, dict) or doc.get("format") != FORMAT or doc.get("version") != VERSION or not isinstance(doc.get("items"), list):
+    if not isinstance(doc, dict) or doc.get("format") not in formats or doc.get("version") != VERSION or not isinstance(doc.get("items"), list):
         raise ValueError("unsupported library format")
     items = []
     for n, item in enumerate(doc["items"], 1):
@@ -60,7 +62,7 @@ def parse_export(text: str) -> dict[str, Any]:
         if not good:
             raise ValueError(f"item {n} is not valid")
         items.append({**{k: item[k] for k in ("entityType", "entityId", "favorite", "note")}, "tags": _strings(item["tags"])})
-    return {"format": FORMAT, "version": VERSION, "exportedAt": doc["exportedAt"] if isinstance(doc.get("exportedAt"), str) else "", "items": items}
+    return {"format": doc["format"], "version": VERSION, "exportedAt": doc["exportedAt"] if isinstance(doc.get("exportedAt"), str) else "", "items": items}
 
 
 def library_rows(spark: SparkSession, library: dict[str, Any]) -> DataFrame:
@@ -82,15 +84,11 @@ def export_rows(spark: SparkSession, export: dict[str, Any]) -> DataFrame:
     return spark.createDataFrame([(i["entityType"], i["entityId"], i["favorite"], n, i["tags"], i["note"]) for n, i in enumerate(export["items"])], SCHEMA)
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
+def read_exports(spark: SparkSession, path: str, formats: Sequence[str] = (FORMAT,)) -> DataFrame:
     """The items of all exported documents under a path, with their `file`; every document is checked as a whole."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, i["entityType"], i["entityId"], i["favorite"], n, i["tags"], i["note"]) for f, t in zip(b["file"], b["value"], strict=True) for n, i in enumerate(parse_export(t)["items"])]
+            rows = [(f, i["entityType"], i["entityId"], i["favorite"], n, i["tags"], i["note"]) for f, t in zip(b["file"], b["value"], strict=True) for n, i in enumerate(parse_export(t, formats)["items"])]
             yield pd.DataFrame(rows, columns=["file", "entity_type", "entity_id", "favorite", "place", "tags", "note"])
 
     texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")

@@ -209,14 +209,14 @@ cl AS (SELECT work_id, string_agg(primary_name, '、' ORDER BY o) AS names, coun
 w AS (SELECT pw.id, pw.slug, lr.code, coalesce(title_zh, title_original) AS title, title_original AS original_title, coalesce(strftime(release_date, '%Y-%m-%d'), '1900-01-01') AS release_date,
   coalesce(year(release_date), 1900) AS release_year, '发行方待确认' AS maker, coalesce(cl.names, '') AS "cast", coalesce(cl.size, 0) AS cast_size,
   ['moon', 'afternoon', 'coast', 'garden'][position % 4 + 1] AS tone, coalesce(runtime_minutes, 0) AS runtime_minutes,
-  CASE medium WHEN 'digital' THEN '数字发行' WHEN 'physical' THEN '实体发行' ELSE '介质待确认' END AS tags, coalesce(synopsis, '简介待补充。') AS synopsis, position
+  CASE medium WHEN 'digital' THEN '数字发行' WHEN 'physical' THEN '实体发行' ELSE '介质待确认' END AS tags, coalesce(synopsis, '暂无公开简介。') AS synopsis, position
   FROM pw JOIN lr ON lr.work_id = pw.id LEFT JOIN cl ON cl.work_id = pw.id),
 ag AS (SELECT person_id, list(name ORDER BY created_at, id, name) AS names FROM al GROUP BY 1),
 wc AS (SELECT person_id, count(*) AS n FROM cr WHERE work_id IN (SELECT id FROM pw) GROUP BY 1),
 p0 AS (SELECT pp.*, coalesce(ag.names, []) AS names, coalesce(wc.n, 0) AS work_count, coalesce([x FOR x IN ag.names IF regexp_full_match(x, '[\\x00-\\x7F]+')][1], name_en, primary_name) AS romanized_name FROM pp LEFT JOIN ag ON ag.person_id = pp.id LEFT JOIN wc ON wc.person_id = pp.id),
 p AS (SELECT id, slug, coalesce(name_zh, primary_name) AS name, coalesce(name_ja, primary_name) AS original_name, romanized_name, CASE WHEN active THEN '活跃' WHEN NOT active THEN '引退' ELSE '资料待确认' END AS status,
   year(created_at) AS debut_year, work_count, coalesce(nullif(upper(array_to_string([y[1] FOR y IN [x FOR x IN regexp_split_to_array(trim(romanized_name), '\\s+') IF x <> ''][1:2]], '')), ''), 'AV') AS initials,
-  ['coral', 'sage', 'ink', 'gold'][position % 4 + 1] AS tone, array_to_string(names, '、') AS aliases, len(names) AS alias_count, coalesce(biography, '简介待补充。') AS biography, primary_name FROM p0)
+  ['coral', 'sage', 'ink', 'gold'][position % 4 + 1] AS tone, array_to_string(names, '、') AS aliases, len(names) AS alias_count, coalesce(biography, '暂无公开简介。') AS biography, primary_name FROM p0)
 """
 _WP = """SELECT DISTINCT ca.person_id, w.id AS work_id FROM ca JOIN w ON w.id = ca.work_id"""
 

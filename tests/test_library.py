@@ -22,6 +22,7 @@ def test_parsing():
     for bad in ("nothing", "[]", json.dumps(EXPORT | {"format": "other"}), json.dumps(EXPORT | {"items": {}})):
         with pytest.raises(ValueError):
             lib.parse_export(bad)
+    assert lib.parse_export(json.dumps(EXPORT | {"format": "older"}), ("older", lib.FORMAT))["format"] == "older"
     broken = EXPORT | {"items": [*EXPORT["items"], {"entityType": "tag", "entityId": "a", "favorite": True, "tags": [], "note": ""}]}
     with pytest.raises(ValueError, match="item 2"):
         lib.parse_export(json.dumps(broken))
