@@ -193,13 +193,13 @@ def parts_of(b: pd.DataFrame, key: str) -> Iterator[tuple[str, Parts, tuple[str
         yield k, Parts(kind, f, s, o), (none(ff), none(fg)), (none(sf), none(sg)), bool(latin)
 
 
-def _emit(kind: str, key: str, keep: Broadcast | None):
+def _emit(kind: str, key: str, keep: Broadcast | None, sides: str):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple[str, str, str]] = []
             for k, p, one, two, _ in parts_of(b, key):
                 if kind == "rewritings":
-                    rows += [(k, form, side) for form, side in rewritings(p, one, two).items()]
+                    rows += [(k, form, side) for form, side in rewritings(p, one, two).items() if side in sides]
                 elif p.kind == "full":
                     rows += [(k, form, "b") for form in slips(p, one, two, None if keep is None else keep.value)]
             yield kept(rows, key, keep if kind == "rewritings" else None)
@@ -207,10 +207,22 @@ def _emit(kind: str, key: str, keep: Broadcast | None):
     return make
 
 
-def name_forms(names: DataFrame, key: str, kind: str = "rewritings", keep: Broadcast | None = None) -> DataFrame:
+def name_forms(names: DataFrame, key: str, kind: str = "rewritings", keep: Broadcast | None = None, sides: str = "btx") -> DataFrame:
     """(`key`, `form`, `side`) of all names; `kind` is rewritings or slips. With a filter, forms that nobody wants aren't made."""
-    shape = f"{key} string, form string, side string"
-    return names.mapInPandas(_emit(kind, key, keep), shape).groupBy(key, "form").agg(F.max("side").alias("side"), F.min("side").alias("_low")).select(key, "form", F.when(F.col("side") == F.col("_low"), F.col("side")).otherwise("b").alias("side"))
+    return names.mapInPandas(_emit(kind, key, keep, sides), f"{key} string, form string, side string")
+
+
+def one_side(forms: DataFrame, key: str) -> DataFrame:
+    """Each form of a key once; what it is both typed as and an expansion of meets all."""
+    each = forms.groupBy(key, "form").agg(F.max("side").alias("side"), F.min("side").alias("_low"))
+    return each.select(key, "form", F.when(F.col("side") == F.col("_low"), F.col("side")).otherwise("b").alias("side"))
+
+
+def entity_rewritings(names: DataFrame) -> DataFrame:
+    """All rewritings of the entities' names; of the expansions only those that a short form may ask for."""
+    stated = cut_lineage(name_forms(names, "entity", sides="bt"))
+    short = text_filter(stated.where("side = 't'").select("form"), form_hashes)
+    return one_side(stated.unionByName(name_forms(names, "entity", keep=short, sides="x")), "entity")
 
 
 # --- evidence besides the name ------------------------------------------------------------------------
@@ -313,12 +325,12 @@ def variant_groups(names: DataFrame, entities: DataFrame) -> DataFrame:
     letters that no rule linked then look for full names one slip per part away.
     """
     known = cut_lineage(with_rates(entities))
-    forms = cut_lineage(name_forms(names, "entity"))
+    forms = cut_lineage(entity_rewritings(names))
     ruled = strongest(candidates(forms, known))
     linked = ruled.select(F.col("a").alias("entity")).unionByName(ruled.select(F.col("b").alias("entity"))).distinct()
     alone = names.where("latin and kind = 'full'").select("entity").distinct().join(linked, "entity", "left_anti")
     alone = cut_lineage(alone)
-    searching = cut_lineage(name_forms(names.join(alone, "entity", "left_semi"), "entity", "slips").withColumn("side", F.lit("t")))
-    offered = name_forms(names.join(alone, "entity", "left_anti"), "entity", "slips", text_filter(searching.select("form"), form_hashes)).withColumn("side", F.lit("x"))
+    searching = cut_lineage(name_forms(names.join(alone, "entity", "left_semi"), "entity", "slips").distinct().withColumn("side", F.lit("t")))
+    offered = name_forms(names.join(alone, "entity", "left_anti"), "entity", "slips", text_filter(searching.select("form"), form_hashes)).distinct().withColumn("side", F.lit("x"))
     near = strongest(candidates(searching.unionByName(offered), known))
     return connected(ruled.unionByName(near).select("a", "b"))
