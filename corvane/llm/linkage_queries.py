@@ -17,7 +17,7 @@ def _linked(spark: SparkSession, folder: str) -> DataFrame:
     """(`page`, `person_id`, `confidence`)."""
     rows = cut_lineage(people_rows(spark, folder))
     forms = character_forms(rows, "name_ja", "name_zh")
-    names, dictionary = people_names(rows, spark, folder, forms)
+    names, dictionary = people_names(rows, spark, folder, forms, with_aliases=False)
     entities, places = people_entities(rows, forms)
     known = cut_lineage(with_rates(entities))
     stated = cut_lineage(pages(table(spark, folder, "observations", "entity_type", "entity_id", "source_url", "field_path", "observed_value")))

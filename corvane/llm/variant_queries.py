@@ -19,16 +19,15 @@ def people_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("entity", F.when(slug.isNull() | (slug == ""), F.col("id")).otherwise(slug)).withColumn("level", date_level(F.col("birth_date"), F.col("birth_date_precision")))
 
 
-def people_names(rows: DataFrame, spark: SparkSession, folder: str, forms: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """The typed names of each entity with readings, and the dictionary of readings."""
+def people_names(rows: DataFrame, spark: SparkSession, folder: str, forms: dict[str, str], *, with_aliases: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The typed names of each entity with readings, and the dictionary of readings. Aliases are names like the others, in every script."""
     long = rows.select("entity", F.explode(F.array("primary_name", "name_ja", "name_zh", "name_en")).alias("name")).where("name is not null")
     names = cut_lineage(typed_names(long.distinct(), "entity", "name", forms).distinct())
-    letters = ~F.col("name").rlike("[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}]")
-    aliases = table(spark, folder, "person_aliases", "person_id", "name").where(letters).distinct().join(rows.select("id", "entity").distinct(), F.col("person_id") == F.col("id")).select("entity", "name")
-    # a full name in letters among the aliases tells how the name in characters is read
-    heard = typed_names(aliases, "entity", "name", forms).where("kind = 'full' and latin")
-    dictionary = cut_lineage(reading_dictionary(names.unionByName(heard), "entity"))
-    return cut_lineage(with_readings(names, dictionary)), dictionary
+    aliases = table(spark, folder, "person_aliases", "person_id", "name").distinct().join(rows.select("id", "entity").distinct(), F.col("person_id") == F.col("id")).select("entity", "name").distinct()
+    borne = cut_lineage(typed_names(aliases, "entity", "name", forms).distinct())
+    # a full name in letters among the aliases tells how the name in characters is read; their characters may be those of another name
+    dictionary = cut_lineage(reading_dictionary(names.unionByName(borne.where("kind = 'full' and latin")), "entity"))
+    return cut_lineage(with_readings(names.unionByName(borne).distinct() if with_aliases else names, dictionary)), dictionary
 
 
 def people_entities(rows: DataFrame, forms: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -53,6 +53,11 @@ def test_namesakes_are_not_linked(spark, tmp_path):
     assert groups(spark, tmp_path / "b", [*BASE, person("9", "s9", "Shimosawa,Haruha", born=None, place=None)]) == []
 
 
+def test_aliases_are_names_in_every_script(spark, tmp_path):
+    stage = [person("7", "s7", "鯉森栞太"), person("8", "s8", "Tamino Koiwa"), person("9", "s9", "鯉森栞太", born=date(1999, 1, 12), place="砂谷町")]
+    assert groups(spark, tmp_path, [*BASE, *stage], [("a", "1", "鯉森栞太（艺名）"), ("b", "1", "コイワ タミノ"), ("c", "3", "鯉森栞太")]) == [["s1", "s7", "s8"]]
+
+
 def test_nulls_repeats_and_blank_names(spark, tmp_path):
     odd = [(None,) * 9, person("5", None, None, born=None, place=None), person("6", "", "", born=None), person("7", "s7", "​ 　"), person("8", "s8", "x" * 20_000), *BASE, *BASE]
     assert groups(spark, tmp_path, odd, [("a", None, None), ("b", "1", "Shimosawa Haruha"), ("c", "1", "")]) == []
