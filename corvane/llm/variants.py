@@ -20,8 +20,9 @@ from corvane.session import cut_lineage
 CHANCE = 0.4
 #: Chance fits that a name met once may have in entities not in the data.
 UNSEEN = 0.3
-#: A rewriting borne by more entities than this can't identify a person of whom nothing else is known: CHANCE excludes it, so it isn't joined without a date.
+#: A rewriting borne by more entities than this is joined in so many parts where a date is missing.
 NAMESAKES = 20
+PARTS = 8
 
 #: A given name in kana of at most so many signs may also be the beginning of a longer one.
 PET_SIGNS = 3
@@ -284,29 +285,51 @@ def chance(agreed: Column, a: str, b: str, bearers: Column) -> Column:
     return (F.greatest(bearers - 1, F.lit(0)) + UNSEEN) * dated * placed
 
 
+def persons() -> Column:
+    """How many persons at least bear a form, as an aggregate over its entities: those born on different days, or without date in different places.
+
+    Entities born in one year may be one person unless their days differ. The sets are bounded by the calendar and the number of places.
+    """
+    years, days = F.collect_set("year"), F.collect_set(F.when(F.col("level") == 3, F.col("date")))
+    born = F.size(days) + F.size(F.array_except(years, F.transform(days, F.year)))
+    return F.greatest(born, F.size(F.collect_set(F.when(F.col("level") == 0, F.col("place")))), F.lit(1))
+
+
+def undated_pairs(full: DataFrame, meets: Column) -> DataFrame:
+    """Pairs `a`, `b` of which `a` has no date, or neither has: all that chance() lets pass.
+
+    A form of one person links whatever the places are; one of several only bearers of one place, which is part of the
+    equi-join then, as without date and place the expected number of others is at least 1. Forms of many entities are joined in parts.
+    """
+    alone = F.col("bearers") - 1 + UNSEEN <= CHANCE
+    keyed = full.withColumn("at", F.when(alone, F.lit("")).otherwise(F.col("place"))).where("at is not null").where(alone | ((F.col("bearers") - 1 + UNSEEN) * F.col("p_place") <= CHANCE))
+    parts = F.when(F.col("entities") > NAMESAKES, PARTS).otherwise(1)
+    a = keyed.where("year is null").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    b = keyed.withColumn("part", F.pmod(F.xxhash64("entity"), parts).cast("int"))
+    ordered = F.when(F.col("b.year").isNull(), F.col("a.entity") < F.col("b.entity")).otherwise(F.col("a.entity") != F.col("b.entity"))
+    return a.alias("a").join(b.alias("b"), meets & (F.col("a.at") == F.col("b.at")) & (F.col("a.part") == F.col("b.part")) & ordered)
+
+
 def candidates(forms: DataFrame, entities: DataFrame) -> DataFrame:
     """(`a`, `b`, `chance`, `agreed`) of entities that share a rewriting and don't conflict in date.
 
     Equi-joins on the rewriting and, where both know it, the year of birth; entities without date meet
-    the bearers of their rewritings only where these are few enough to be told apart.
+    by undated_pairs().
     """
     known = cut_lineage(forms.join(entities, "entity"))
-    df = known.groupBy("form").agg(F.count("*").alias("entities"), F.size(F.collect_set("year")).alias("years"))
-    # entities born in one year may be one person; where there are too many for that, each counts
-    shared = df.where("entities > 1").select("form", "entities", F.when(F.col("entities") <= NAMESAKES, F.greatest("years", F.lit(1))).otherwise(F.col("entities")).alias("bearers"))
+    shared = known.groupBy("form").agg(F.count("*").alias("entities"), persons().alias("bearers")).where("entities > 1")
     full = known.join(shared, "form")
     full = cut_lineage(full.select("entities", F.xxhash64("form").alias("h"), "form", "side", "bearers", "entity", "date", "level", "year", "place", "p_day", "p_year", "p_place"))
     a, b = full.alias("a"), full.alias("b")
-    meets = (F.col("a.h") == F.col("b.h")) & (F.col("a.form") == F.col("b.form")) & (F.col("a.entity") < F.col("b.entity")) & (~F.col("a.side").isin("t", "x") | ~F.col("b.side").isin("t", "x") | (F.col("a.side") == "t") | (F.col("b.side") == "t"))
-    dated = a.join(b, meets & (F.col("a.year") == F.col("b.year")))
-    few = full.where(F.col("entities") <= NAMESAKES)
-    undated = few.alias("a").join(few.alias("b"), meets & (F.col("a.year").isNull() | F.col("b.year").isNull()))
+    meets = (F.col("a.h") == F.col("b.h")) & (F.col("a.form") == F.col("b.form")) & (~F.col("a.side").isin("t", "x") | ~F.col("b.side").isin("t", "x") | (F.col("a.side") == "t") | (F.col("b.side") == "t"))
+    dated = a.join(b, meets & (F.col("a.entity") < F.col("b.entity")) & (F.col("a.year") == F.col("b.year")))
 
     def scored(x: DataFrame) -> DataFrame:
         agreed = dates_agree("a", "b")
-        return x.select(F.col("a.entity").alias("a"), F.col("b.entity").alias("b"), chance(agreed, "a", "b", F.col("a.bearers")).alias("chance"), agreed.alias("agreed")).where("agreed >= 0")
+        first, second = F.least("a.entity", "b.entity"), F.greatest("a.entity", "b.entity")
+        return x.select(first.alias("a"), second.alias("b"), chance(agreed, "a", "b", F.col("a.bearers")).alias("chance"), agreed.alias("agreed")).where("agreed >= 0")
 
-    return scored(dated).unionByName(scored(undated)).groupBy("a", "b").agg(F.min("chance").alias("chance"), F.max("agreed").alias("agreed"))
+    return scored(dated).unionByName(scored(undated_pairs(full, meets))).groupBy("a", "b").agg(F.min("chance").alias("chance"), F.max("agreed").alias("agreed"))
 
 
 def strongest(links: DataFrame, within: float = 8.0) -> DataFrame:

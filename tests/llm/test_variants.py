@@ -3,7 +3,7 @@ from datetime import date
 from corvane.llm import names as n
 from corvane.llm.components import connected
 from corvane.llm.variant_queries import people_entities, people_names, people_rows
-from corvane.llm.variants import character_forms, variant_groups
+from corvane.llm.variants import CHANCE, candidates, character_forms, variant_groups
 from tests.conftest import rows
 
 PEOPLE = "id string, slug string, primary_name string, name_ja string, name_zh string, name_en string, birth_date date, birth_date_precision string, birthplace string"
@@ -58,6 +58,25 @@ def test_aliases_are_names_in_every_script(spark, tmp_path):
     assert groups(spark, tmp_path, [*BASE, *stage], [("a", "1", "鯉森栞太（艺名）"), ("b", "1", "コイワ タミノ"), ("c", "3", "鯉森栞太")]) == [["s1", "s7", "s8"]]
 
 
+def linked(spark, entities):
+    schema = "entity string, date date, level int, year int, place string, p_day double, p_year double, p_place double"
+    known = spark.createDataFrame([(e, d, level, d and d.year, place, 1e-4, 0.025, 0.01) for e, d, level, place in entities], schema)
+    forms = known.selectExpr("entity", "'Rhamiomiko' form", "'b' side")
+    return {r[:2] for r in rows(candidates(forms, known).where(f"chance <= {CHANCE}"), "a", "b")}
+
+
+def test_forms_of_many_entities(spark):
+    # 25 spellings of one person: those with the year only and those without date fit
+    one = [(f"s{i:02d}", D, 3, "灯川町") for i in range(23)]
+    got = linked(spark, [*one, ("year", date(1970, 1, 1), 1, None), ("z", None, 0, None)])
+    assert len(got) == 25 * 24 // 2 and ("s00", "year") in got and ("s00", "z") in got and ("year", "z") in got
+    # 25 namesakes: without date only a rare place tells who is meant
+    many = [(f"s{i:02d}", date(1950 + i, 3, 17), 3, f"{i}") for i in range(25)]
+    assert linked(spark, [*many, ("z", None, 0, "7"), ("y", None, 0, "7"), ("x", None, 0, None), ("a", None, 0, "none")]) == {("s07", "z"), ("s07", "y"), ("y", "z")}
+    # namesakes of one year count each
+    assert linked(spark, [("s1", D, 3, None), ("s2", date(1970, 8, 2), 3, None), ("z", None, 0, None)]) == set()
+
+
 def test_nulls_repeats_and_blank_names(spark, tmp_path):
     odd = [(None,) * 9, person("5", None, None, born=None, place=None), person("6", "", "", born=None), person("7", "s7", "​ 　"), person("8", "s8", "x" * 20_000), *BASE, *BASE]
     assert groups(spark, tmp_path, odd, [("a", None, None), ("b", "1", "Shimosawa Haruha"), ("c", "1", "")]) == []
