@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.names import Parts, is_han
-from corvane.llm.variants import NAMESAKES, UNSEEN, kept, parts_of, rewritings, slips
+from corvane.llm.variants import NAMESAKES, PARTS, UNSEEN, kept, parts_of, persons, rewritings, slips
 from corvane.session import cut_lineage
 
 _MONTHS = {m: i + 1 for i, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"])}
@@ -152,13 +152,12 @@ def attribute_edges(page_forms: DataFrame, page_facts: DataFrame, entity_forms:
     """The candidate graph: (`page`, `entity`) with what both ends share and how rare it is.
 
     Names meet by equi-join on the form and the year of birth, family names alone on the form and an exact date
-    or one a slip away; a side without date meets the bearers of forms that few entities bear. Edges of ends whose dates
-    conflict are left out.
+    or one a slip away; a side without date meets the bearers of forms that few entities or one person bear, those of other
+    forms where both sides state one place. Edges of ends whose dates conflict are left out.
     """
     offered = entity_forms.join(page_forms.select("form").distinct(), "form", "left_semi").join(entities, "entity")
     offered = cut_lineage(offered)
-    df = offered.groupBy("form").agg(F.count("*").alias("bearing"), F.size(F.collect_set("year")).alias("years"))
-    df = df.select("form", "bearing", F.when(F.col("bearing") <= NAMESAKES, F.greatest("years", F.lit(1))).otherwise(F.col("bearing")).alias("bearers"))
+    df = offered.groupBy("form").agg(F.count("*").alias("bearing"), persons().alias("bearers"))
     right = cut_lineage(offered.join(df, "form"))
     left = cut_lineage(page_forms.join(page_facts, "page", "left").withColumn("level", F.coalesce("level", F.lit(0))))
     p, e = left.alias("p"), right.alias("e")
@@ -167,14 +166,29 @@ def attribute_edges(page_forms: DataFrame, page_facts: DataFrame, entity_forms:
     slips = F.array("date", *[F.date_add("date", n) for n in _SLIPS], F.try_to_date(F.date_format("date", "yyyy-dd-MM"), "yyyy-MM-dd"))
     exact = left.where("level = 3 and form like 'F%'").withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
     by_date = exact.alias("p").join(e.where("level = 3"), (F.col("p.form") == F.col("e.form")) & (F.col("p._key") == F.col("e.date")))
-    few = right.where(F.col("bearing") <= NAMESAKES).alias("e")
-    undated = p.join(few, (F.col("p.form") == F.col("e.form")) & (F.col("p.date").isNull() | F.col("e.year").isNull()))
-    evidence = _date_evidence()
-    made = []
-    for joined in (dated, by_date, undated):
-        x = joined.select("p.page", "e.entity", evidence.alias("by"), "e.bearers", "e.p_day", "e.p_year", "e.p_place", F.col("p.place").alias("pp"), F.col("e.place").alias("ep"))
-        made.append(x.where("by <> 'conflict'"))
-    return made[0].unionByName(made[1]).unionByName(made[2])
+    by = _date_evidence()
+
+    def edges(joined: DataFrame) -> DataFrame:
+        x = joined.select("p.page", "e.entity", by.alias("by"), "e.bearers", "e.p_day", "e.p_year", "e.p_place", F.col("p.place").alias("pp"), F.col("e.place").alias("ep"))
+        return x.where("by <> 'conflict'")
+
+    met = cut_lineage(edges(dated).unionByName(edges(by_date)))
+    few = (F.col("bearing") <= NAMESAKES) | (F.col("bearers") == 1)
+    undated = p.join(right.where(few).alias("e"), (F.col("p.form") == F.col("e.form")) & (F.col("p.date").isNull() | F.col("e.year").isNull()))
+    return met.unionByName(edges(undated)).unionByName(edges(_placed_pairs(left, right.where(~few), same_places(met))))
+
+
+def _placed_pairs(left: DataFrame, right: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs `p`, `e` of which one has no date and that share a form and a place, in parts."""
+    at = cut_lineage(places)
+
+    def keyed(x: DataFrame) -> DataFrame:
+        return x.where("place is not null").join(at, "place", "left").withColumn("at", F.coalesce("same", "place")).drop("same")
+
+    asked = keyed(left.join(right.select("form").distinct(), "form", "left_semi")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    borne = keyed(right).withColumn("part", F.pmod(F.xxhash64("entity"), F.lit(PARTS)).cast("int"))
+    undated = F.col("p.date").isNull() | F.col("e.year").isNull()
+    return asked.alias("p").join(borne.alias("e"), (F.col("p.form") == F.col("e.form")) & (F.col("p.at") == F.col("e.at")) & (F.col("p.part") == F.col("e.part")) & undated)
 
 
 def same_places(edges: DataFrame) -> DataFrame:

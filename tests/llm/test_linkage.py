@@ -6,7 +6,7 @@ import pytest
 from corvane.llm import linkage as lk
 from corvane.llm.linkage_queries import p3_confidence, p3_found
 from tests.conftest import rows
-from tests.llm.test_variants import ALIASES, BASE, PEOPLE
+from tests.llm.test_variants import ALIASES, BASE, PEOPLE, person
 
 OBSERVATIONS = "entity_type string, entity_id string, source_url string, field_path string, observed_value string"
 
@@ -41,6 +41,13 @@ def test_noisy_pages(spark, tmp_path):
     assert got == {"exact": "1", "kana": "1", "slip": "1", "swapped": "3", "place only": "2", "short": "3", "family": "3", "wrong sign": "3", "letters": "3"}
 
 
+def test_places_tell_namesakes_apart_at_every_number(spark, tmp_path):
+    # 24 of one name, each from another place; what else there is makes places rare
+    many = [person(f"n{i:02d}", f"n{i:02d}", "鯉森栞太", born=date(1950 + i, 5, 9), place=f"{chr(0x5DDD + i)}谷町") for i in range(24)]
+    pages = [page("placed", "鯉森栞太", None, chr(0x5DDD + 7) + "谷町"), page("elsewhere", "鯉森栞太", None, "遠谷町"), page("nothing else", "鯉森栞太")]
+    assert found(spark, tmp_path, pages, [*BASE, *many]) == [("placed", "n07")]
+
+
 def test_nulls_and_corrupt_values(spark, tmp_path):
     pages = [("person", "u", [("name_ja", None), (None, '"霜沢陽葉"'), ("birth_date", "{oops"), ("birthplace", "null"), ("name_ja", "7")]), (None, "v", [("name_ja", '"桂倉礼斗"')]), ("person", None, [("name_ja", '"桂倉礼斗"')])]
     assert found(spark, tmp_path, pages) == []
