@@ -60,6 +60,11 @@ def normalize_text(spark, folder):
     return codes.select("id", t.normalized(F.col("code")).alias("folded"))
 
 
+def normalize_codes(spark, folder):
+    """Normalized codes of all releases, whatever they are written in."""
+    return table(spark, folder, "releases", "id", "code").distinct().select("id", t.normalized(F.col("code")).alias("folded"))
+
+
 def normalize_titles(spark, folder):
     """Normalized titles in all scripts."""
     return table(spark, folder, "works", "id", "title_original").distinct().select("id", t.normalized(F.col("title_original")).alias("folded"))
@@ -269,7 +274,7 @@ x AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY entity_type, entit
 QUERIES = {
     f.__name__: f
     for f in (
-        search_tiers, search_fuzzy, search_best_hit, search_boolean, sort_relevance_top, normalize_text, normalize_titles, initials, tag_split, numeric_names, tone_rotation, maker_left_default, debut_year,
+        search_tiers, search_fuzzy, search_best_hit, search_boolean, sort_relevance_top, normalize_text, normalize_codes, normalize_titles, initials, tag_split, numeric_names, tone_rotation, maker_left_default, debut_year,
         timeline_nest, status_three_valued, library_export, library_merge, library_preview, library_toggle, library_favorites, library_parse_values, home_union, upsert_merge, replace_children,
         cascade_delete, unnest_children, unnest_aliases, sequence_ids, validate_fk, validate_unique, validate_enum, latest_line_per_order, resolved_values, relation_edges,
     )

@@ -26,6 +26,16 @@ def test_column_and_string_agree(spark):
     assert got == [None if v is None else t.normalize_search_text(v) for v in values]
 
 
+def test_codes_of_every_script_are_normalized(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    codes = ["ABC-12", "ＡＢＣ－１２", "AB—12", "АВС-12", "ｱﾋﾞ ー 1", "　x  Y ", "", None]
+    spark.createDataFrame([(str(i), c) for i, c in enumerate(codes)] * 2, "id string, code string").write.parquet(f"{tmp_path}/releases.parquet")
+    got = dict(map(tuple, entry.queries()["normalize_codes"](spark, str(tmp_path)).collect()))
+    assert got == {str(i): None if c is None else t.normalize_search_text(c) for i, c in enumerate(codes)}
+    assert got["1"] == "abc-12" and "normalize_codes" not in entry.oracle_sql()
+
+
 def test_tiers(spark):
     assert found(spark, "nagi tomo", NAMES) == (2, "exact", 100)
     assert found(spark, "Nagi To", NAMES) == (2, "prefix", 80)
