@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.names import Parts, is_han
-from corvane.llm.variants import NAMESAKES, PARTS, UNSEEN, kept, parts_of, persons, rewritings, slips
+from corvane.llm.variants import SPLIT, UNSEEN, kept, parts_of, persons, rewritings, slips
 from corvane.session import cut_lineage
 
 _MONTHS = {m: i + 1 for i, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"])}
@@ -151,42 +151,46 @@ def all_forms(names: DataFrame, key: str, stated: bool, keep: Broadcast | None =
 def attribute_edges(page_forms: DataFrame, page_facts: DataFrame, entity_forms: DataFrame, entities: DataFrame) -> DataFrame:
     """The candidate graph: (`page`, `entity`) with what both ends share and how rare it is.
 
-    Names meet by equi-join on the form and the year of birth, family names alone on the form and an exact date
-    or one a slip away; a side without date meets the bearers of forms that few entities or one person bear, those of other
-    forms where both sides state one place. Edges of ends whose dates conflict are left out.
+    Names meet by equi-join on the form and, where both state one, the exact date or one a slip away, else the year of
+    birth (family names alone only on dates); a side without date meets the bearers of forms that suffice alone, those of other
+    forms where both sides state one place. Edges of ends whose dates conflict, and those that even the best agreement leaves above
+    CHANCE, are left out, the latter before they are made where a form tells.
     """
     offered = entity_forms.join(page_forms.select("form").distinct(), "form", "left_semi").join(entities, "entity")
     offered = cut_lineage(offered)
     df = offered.groupBy("form").agg(F.count("*").alias("bearing"), persons().alias("bearers"))
-    right = cut_lineage(offered.join(df, "form"))
+    right = cut_lineage(offered.join(df, "form").withColumn("spread", F.col("bearers") - 1 + UNSEEN))
     left = cut_lineage(page_forms.join(page_facts, "page", "left").withColumn("level", F.coalesce("level", F.lit(0))))
-    p, e = left.alias("p"), right.alias("e")
-    family = F.col("p.form").startswith("F")
-    dated = p.where(~family).join(e, (F.col("p.form") == F.col("e.form")) & (F.year("p.date") == F.col("e.year")))
+    e = right.alias("e")
     slips = F.array("date", *[F.date_add("date", n) for n in _SLIPS], F.try_to_date(F.date_format("date", "yyyy-dd-MM"), "yyyy-MM-dd"))
-    exact = left.where("level = 3 and form like 'F%'").withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
-    by_date = exact.alias("p").join(e.where("level = 3"), (F.col("p.form") == F.col("e.form")) & (F.col("p._key") == F.col("e.date")))
+    exact = left.where("level = 3").withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
+    by_day = exact.alias("p").join(e.where("level = 3"), (F.col("p.form") == F.col("e.form")) & (F.col("p._key") == F.col("e.date")))
+    placed = F.coalesce(F.col("p_place"), F.lit(1.0))
+    coarse = right.where((F.col("level") > 0) & ~F.col("form").startswith("F") & (F.col("spread") * F.when(F.col("level") == 1, F.col("p_year")).otherwise(F.col("p_year") / 12) * placed <= CHANCE))
+    by_year = left.where("level > 0").alias("p").join(coarse.alias("e"), (F.col("p.form") == F.col("e.form")) & (F.year("p.date") == F.col("e.year")) & (F.least("p.level", "e.level") < 3))
     by = _date_evidence()
 
     def edges(joined: DataFrame) -> DataFrame:
         x = joined.select("p.page", "e.entity", by.alias("by"), "e.bearers", "e.p_day", "e.p_year", "e.p_place", F.col("p.place").alias("pp"), F.col("e.place").alias("ep"))
         return x.where("by <> 'conflict'")
 
-    met = cut_lineage(edges(dated).unionByName(edges(by_date)))
-    few = (F.col("bearing") <= NAMESAKES) | (F.col("bearers") == 1)
-    undated = p.join(right.where(few).alias("e"), (F.col("p.form") == F.col("e.form")) & (F.col("p.date").isNull() | F.col("e.year").isNull()))
-    return met.unionByName(edges(undated)).unionByName(edges(_placed_pairs(left, right.where(~few), same_places(met))))
+    met = cut_lineage(edges(by_day).unionByName(edges(by_year)))
+    return met.unionByName(edges(_undated_pairs(left, right, same_places(met))))
 
 
-def _placed_pairs(left: DataFrame, right: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs `p`, `e` of which one has no date and that share a form and a place, in parts."""
+def _undated_pairs(left: DataFrame, right: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs `p`, `e` of which one has no date: those of a form that suffices alone, and those that share a form and a place. Forms of many are joined in parts."""
     at = cut_lineage(places)
+    alone = F.col("spread") <= CHANCE
+    shape = cut_lineage(right.groupBy("form").agg(F.first("spread").alias("spread"), (F.first("bearing") / SPLIT).cast("int").alias("_last")))
 
     def keyed(x: DataFrame) -> DataFrame:
-        return x.where("place is not null").join(at, "place", "left").withColumn("at", F.coalesce("same", "place")).drop("same")
+        named = x.join(at, "place", "left").withColumn("at", F.when(alone, F.lit("")).otherwise(F.coalesce("same", "place")))
+        return named.drop("same").where("at is not null")
 
-    asked = keyed(left.join(right.select("form").distinct(), "form", "left_semi")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    borne = keyed(right).withColumn("part", F.pmod(F.xxhash64("entity"), F.lit(PARTS)).cast("int"))
+    asked = keyed(left.join(shape, "form")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    likely = right.where(alone | (F.col("spread") * F.col("p_place") <= CHANCE))
+    borne = keyed(likely).withColumn("part", F.pmod(F.xxhash64("entity"), (F.col("bearing") / SPLIT).cast("int") + 1).cast("int"))
     undated = F.col("p.date").isNull() | F.col("e.year").isNull()
     return asked.alias("p").join(borne.alias("e"), (F.col("p.form") == F.col("e.form")) & (F.col("p.at") == F.col("e.at")) & (F.col("p.part") == F.col("e.part")) & undated)
 
@@ -225,29 +229,32 @@ def _date_evidence():
 
 
 def prune(edges: DataFrame) -> DataFrame:
-    """Meta-blocking: of each page's edges those of at least its mean weight, if they exceed chance."""
-    mean = edges.groupBy("page").agg(F.avg("weight").alias("_mean"))
-    return edges.join(mean, "page").where((F.col("weight") >= F.col("_mean") - 1e-9) & (F.col("chance") <= CHANCE)).drop("_mean")
+    """Meta-blocking: of each page's edges that exceed chance, those of at least their mean weight."""
+    likely = edges.where(F.col("chance") <= CHANCE)
+    return likely.withColumn("_mean", F.avg("weight").over(Window.partitionBy("page"))).where(F.col("weight") >= F.col("_mean") - 1e-9).drop("_mean")
 
 
-def propagate(edges: DataFrame, tolerance: float = 1e-3, rounds: int = 20) -> DataFrame:
+def propagate(edges: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """Edges with `similarity`: each page's weights as shares, refined by the similarity of the neighbours until stable.
 
     Pages are neighbours if they share a candidate entity. In each round an entity gathers the similarity of its pages, and
-    a page gives more to the entity that its neighbours agree on. `rounds` only bounds oscillation; it is far above
-    what is needed, as SUPPORT damps each round.
+    a page gives more to the entity that its neighbours agree on. It ends when no similarity moves by `tolerance` any more, which it does as
+    SUPPORT makes each round a contraction. A page of one candidate has similarity 1 throughout and takes part only by what it lends.
     """
-    weighed = edges.withColumn("similarity", F.col("weight") / F.greatest(F.sum("weight").over(Window.partitionBy("page")), F.lit(1e-9)))
-    now = cut_lineage(weighed)
-    for _ in range(rounds):
-        support = now.groupBy("entity").agg(F.log1p(F.sum("similarity")).alias("_support"))
-        raised = now.join(support, "entity").withColumn("_raw", F.col("weight") * (1 + SUPPORT * F.col("_support")))
-        after = cut_lineage(raised.select("page", "entity", "chance", "weight", F.col("similarity").alias("_before"), (F.col("_raw") / F.greatest(F.sum("_raw").over(Window.partitionBy("page")), F.lit(1e-9))).alias("similarity")))
+    total = Window.partitionBy("page")
+    share = lambda c: F.col(c) / F.greatest(F.sum(c).over(total), F.lit(1e-9))
+    marked = cut_lineage(edges.withColumn("_n", F.count("*").over(total)).withColumn("similarity", F.when(F.col("_n") == 1, 1.0).otherwise(share("weight"))))
+    now = marked.where("_n > 1").drop("_n")
+    alone = marked.where("_n = 1").drop("_n")
+    lent = cut_lineage(alone.groupBy("entity").agg(F.sum("similarity").alias("similarity")).join(now.select("entity").distinct(), "entity", "left_semi"))
+    moved = None if now.isEmpty() else 1.0
+    while moved is not None and moved >= tolerance:
+        support = now.select("entity", "similarity").unionByName(lent).groupBy("entity").agg(F.log1p(F.sum("similarity")).alias("_support"))
+        raised = now.withColumnRenamed("similarity", "_before").join(support, "entity").withColumn("_raw", F.col("weight") * (1 + SUPPORT * F.col("_support")))
+        after = cut_lineage(raised.select("page", "entity", "chance", "weight", "_before", share("_raw").alias("similarity")))
         moved = after.agg(F.max(F.abs(F.col("similarity") - F.col("_before")))).first()[0]
         now = after.drop("_before")
-        if moved is None or moved < tolerance:
-            break
-    return now
+    return now.unionByName(alone)
 
 
 def link(edges: DataFrame) -> DataFrame:

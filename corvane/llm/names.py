@@ -12,11 +12,12 @@ _KANA_ROWS = {"": "あいうえお", "k": "かきくけこ", "s": "さしすせ
 _IRREGULAR = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "ん": "n", "ゐ": "i", "ゑ": "e", "ゔ": "vu"}
 _SMALL = {"ゃ": "ya", "ゅ": "yu", "ょ": "yo", "ぁ": "a", "ぃ": "i", "ぅ": "u", "ぇ": "e", "ぉ": "o", "ゎ": "wa"}
 # Old forms of characters used in names, each before its new form.
-OLD_FORMS = "榮栄 瀨瀬 彌弥 濱浜 穗穂 澤沢 惠恵 樂楽 實実 國国 廣広 齋斎 齊斉 邊辺 邉辺 眞真 龍竜 櫻桜 壽寿 德徳 淸清 靜静 瀧滝 嶋島 嶌島 髙高 﨑崎 將将 豐豊 藏蔵 圓円 鐵鉄 應応 學学 禮礼 曉暁 來来 峯峰 晝昼 螢蛍 槇槙 繪絵 絲糸 鷗鴎 鶯鴬 賴頼 祿禄 萬万 戀恋 歸帰 與与 傳伝 潛潜 燈灯 獨独 舊旧 藝芸 單単 號号 縣県 關関 黑黒 橫横 譽誉 巖巌 遙遥 薰薫 莊荘 檜桧 蠶蚕 覺覚 聰聡 總総 增増 凉涼 步歩 每毎 海海 愼慎 歷歴 琢琢 祥祥 福福 綠緑 亞亜 麥麦 葦葦 鷄鶏 澁渋 粟粟 條条 攝摂 眺眺 畫画 氣気 戶戸 峽峡 鄕郷 渕淵 菫菫 綠緑 廐厩 椿椿 筆筆".split()
-_OLD = {ord(x[0]): x[1] for x in OLD_FORMS if len(x) == 2 and x[0] != x[1]}
+OLD_FORMS = "榮栄 瀨瀬 彌弥 濱浜 穗穂 澤沢 惠恵 樂楽 實実 國国 廣広 齋斎 齊斉 邊辺 邉辺 眞真 龍竜 櫻桜 壽寿 德徳 淸清 靜静 瀧滝 嶋島 嶌島 髙高 﨑崎 將将 豐豊 藏蔵 圓円 鐵鉄 應応 學学 禮礼 曉暁 來来 峯峰 晝昼 螢蛍 槇槙 繪絵 絲糸 鷗鴎 鶯鴬 賴頼 祿禄 萬万 戀恋 歸帰 與与 傳伝 潛潜 燈灯 獨独 舊旧 藝芸 單単 號号 縣県 關関 黑黒 橫横 譽誉 巖巌 遙遥 薰薫 莊荘 檜桧 蠶蚕 覺覚 聰聡 總総 增増 凉涼 步歩 每毎 愼慎 歷歴 綠緑 亞亜 麥麦 鷄鶏 澁渋 條条 攝摂 畫画 氣気 戶戸 峽峡 鄕郷 渕淵 廐厩".split()
+_OLD = {ord(x[0]): x[1] for x in OLD_FORMS}
 # What is added to a name but isn't part of it, and endings of pet names.
 HONORIFICS = ["さん", "様", "さま", "氏", "くん", "君", "先生", "女士", "小姐", "老师", "san", "sama", "kun"]
 PET_ENDINGS = ["ちゃん", "たん", "ちん", "チャン", "タン", "-chan", " chan", "chan", "-tan"]
+TITLES = ["dr", "dr.", "mr", "mr.", "ms", "ms.", "mrs", "mrs.", "miss", "prof", "prof."]
 #: Legal forms and words for a group, dropped from names of organisations and ensembles.
 LEGAL_FORMS = ["株式会社", "有限会社", "合同会社", "有限公司", "股份有限公司", "(株)", "(有)", "inc", "inc.", "ltd", "ltd.", "co.", "llc", "gmbh", "k.k."]
 _HAN = re.compile(r"[一-鿿㐀-䶿豈-﫿々〆ヶ]+")
@@ -74,7 +75,10 @@ def reading(text: str) -> str:
 
 @dataclass(frozen=True)
 class Parts:
-    """A typed name: kind (full, initial, pet, whole), two parts, and whether the first is the family name (F), the given name (G) or unknown (?)."""
+    """A typed name: kind (full, initial, pet, whole), two parts, and whether the first is the family name (F), the given name (G) or unknown (?).
+
+    A pet form without family name has an empty first part.
+    """
 
     kind: str
     first: str
@@ -87,7 +91,7 @@ def is_han(text: str) -> bool:
 
 
 def _two(text: str) -> tuple[str, str] | None:
-    """Family and given name of an unspaced East Asian name: 2 + 2 characters, or where the script changes."""
+    """Family and given name of an unspaced East Asian name: 2 + 2 characters, or where the script changes. Other splits ask for a dictionary."""
     if is_han(text):
         return (text[:2], text[2:]) if len(text) == 4 else None
     m = re.fullmatch(f"({_HAN.pattern})({_KANA.pattern})", text) or re.fullmatch(f"({_KANA.pattern})({_HAN.pattern})", text)
@@ -121,6 +125,12 @@ def parse(name: str) -> Parts | None:
         a, b = a.strip(), b.strip()
         return _with_initial(a, b, "F") if a and b else Parts("whole", a or b)
     words = text.split(" ")
+    if len(words) > 2 and words[0].lower() in TITLES:
+        words = words[1:]
+    if len(words) == 3 and text.isascii() and re.fullmatch(r"[A-Za-z]\.?", words[1]):
+        words = [words[0], words[2]]
+    if len(words) == 1 and re.fullmatch(r"[A-Z][A-Z][a-z]{2,}", text):
+        return Parts("initial", text[1:], text[0].lower(), "F")
     if len(words) == 1 and text.isascii():
         words = [w for w in re.split(r"(?<=\.)(?=\w)|-", text) if w]
     if len(words) == 2:
@@ -157,11 +167,29 @@ def _pet(text: str, inside: list[str]) -> Parts | None:
                 return Parts("pet", inside[0], stem, "F")
             words = stem.split(" ")
             two = (words[0], words[1]) if len(words) == 2 else _two(stem) or ((stem[:2], stem[2:]) if is_han(stem[:2]) and len(stem) > 2 else None)
-            if two:
-                return Parts("pet", two[0], two[1], "F")
-    return None
+            return Parts("pet", two[0], two[1], "F") if two else Parts("pet", "", stem, "F")
+    m = re.fullmatch(r"([A-Za-z]{2,}?)-(?:chan|tan)", text, re.I)
+    return Parts("pet", "", m[1], "F") if m else None
+
+
+def letters(text: str) -> str:
+    """The letters of a Latin or kana word as typed, in lower case."""
+    return "".join(c for c in unicodedata.normalize("NFD", kana_to_latin(text).lower()) if "a" <= c <= "z")
 
 
 def deletions(word: str) -> set[str]:
     """The word and what remains after leaving out one letter: two words one slip apart have one of these in common."""
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def remains(word: str) -> dict[str, int]:
+    """What is left of a word after leaving out none, one or, of six letters or more, two letters, with the number left out."""
+    out = {word: 0}
+    if len(word) >= 3:
+        for x in deletions(word):
+            out.setdefault(x, 1)
+    if len(word) >= 6:
+        for x in [x for x, n in out.items() if n == 1]:
+            for y in deletions(x):
+                out.setdefault(y, 2)
+    return out

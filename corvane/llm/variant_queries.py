@@ -42,9 +42,9 @@ def people_entities(rows: DataFrame, forms: dict[str, str]) -> tuple[DataFrame,
 def _groups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = cut_lineage(people_rows(spark, folder))
     forms = character_forms(rows, "name_ja", "name_zh")
-    names, _ = people_names(rows, spark, folder, forms)
+    names, dictionary = people_names(rows, spark, folder, forms)
     entities, _ = people_entities(rows, forms)
-    return rows, variant_groups(names, entities)
+    return rows, variant_groups(names, dictionary, entities)
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:

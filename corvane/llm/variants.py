@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected
-from corvane.llm.filters import passes, text_filter, text_hashes
-from corvane.llm.names import Parts, clean, deletions, is_han, kana_to_latin, parse, reading
+from corvane.llm.filters import BITS, filter_of, passes, text_hashes
+from corvane.llm.names import Parts, clean, deletions, is_han, kana_to_latin, letters, parse, reading, remains
 from corvane.session import cut_lineage
 
 #: Expected number of other entities that fit as well by chance, above which a shared rewriting doesn't link.
 CHANCE = 0.4
 #: Chance fits that a name met once may have in entities not in the data.
 UNSEEN = 0.3
-#: A rewriting borne by more entities than this is joined in so many parts where a date is missing.
-NAMESAKES = 20
-PARTS = 8
+#: Bearers of one form that one task joins where a date is missing; forms of more are joined in parts.
+SPLIT = 500
+#: How much rarer a wrong sign in a name is than another spelling of it: what the expected chance fits of such forms are multiplied by.
+WRONG_SIGN = 20.0
+#: The same for each slip of a letter after the first.
+SECOND_SLIP = 4.0
+#: Factor for places that conflict.
+OTHER_PLACE = 30.0
 
 #: A given name in kana of at most so many signs may also be the beginning of a longer one.
 PET_SIGNS = 3
 
+_LATIN = "^[ -~]+$"
+
 # --- normal characters and readings, learned from the table itself ---------------------------------
 
 
@@ -67,22 +74,35 @@ def typed_names(rows: DataFrame, key: str, name: str, forms: dict[str, str]) ->
 def reading_dictionary(names: DataFrame, key: str) -> DataFrame:
     """(`part`, `as_family`, `as_given`): how parts in Han characters are read, learned from records that state a name both ways.
 
-    `names` are the typed names of each record. The commonest reading counts.
+    `names` are the typed names of each record, those split by a blank included. The commonest reading counts; a role in
+    which a part is met in less than a quarter of its names, as by names typed in reverse, is left out.
     """
     full = names.where("kind = 'full'")
-    han = full.where("first rlike '^\\\\p{IsHan}+$' and second rlike '^\\\\p{IsHan}+$' and order = 'F'").select(F.col(key), F.col("first").alias("f"), F.col("second").alias("g")).distinct()
+    han = full.where("first rlike '^\\\\p{IsHan}+$' and second rlike '^\\\\p{IsHan}+$' and order in ('F', '?')").select(F.col(key), F.col("first").alias("f"), F.col("second").alias("g")).distinct()
     heard = full.where("latin").select(F.col(key).alias("_k"), F.when(F.col("order") == "G", F.col("second")).otherwise(F.col("first")).alias("rf"), F.when(F.col("order") == "G", F.col("first")).otherwise(F.col("second")).alias("rg")).distinct()
     both = han.join(heard, han[key] == heard["_k"])
     entries = both.select(F.explode(F.array(F.struct(F.col("f").alias("part"), F.lit("F").alias("role"), F.lower("rf").alias("r")), F.struct(F.col("g").alias("part"), F.lit("G").alias("role"), F.lower("rg").alias("r")))).alias("e")).select("e.*")
-    best = entries.groupBy("part", "role", "r").agg(F.count("*").alias("n")).groupBy("part", "role").agg(F.max_by("r", F.struct("n", "r")).alias("r"))
-    return best.groupBy("part").agg(F.max(F.when(F.col("role") == "F", F.col("r"))).alias("as_family"), F.max(F.when(F.col("role") == "G", F.col("r"))).alias("as_given"))
+    best = entries.groupBy("part", "role", "r").agg(F.count("*").alias("n")).groupBy("part", "role").agg(F.max_by("r", F.struct("n", "r")).alias("r"), F.sum("n").alias("n"))
+    role = lambda x, c: F.max(F.when(F.col("role") == x, F.col(c)))
+    roles = best.groupBy("part").agg(role("F", "r").alias("f"), role("G", "r").alias("g"), F.coalesce(role("F", "n"), F.lit(0)).alias("nf"), F.coalesce(role("G", "n"), F.lit(0)).alias("ng"))
+    return roles.select("part", F.when(F.col("nf") * 3 >= F.col("ng"), F.col("f")).alias("as_family"), F.when(F.col("ng") * 3 >= F.col("nf"), F.col("g")).alias("as_given"))
 
 
 def with_readings(names: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Typed names with the readings of their Han parts in either role; NULL where unknown or not in Han."""
+    """Typed names with the readings of their Han parts in either role; NULL where unknown or not in Han.
+
+    An unspaced Han name whose parts aren't known that way comes also with each split, in either order, of which the dictionary knows both parts.
+    """
     one = dictionary.select(F.col("part").alias("first"), F.col("as_family").alias("first_f"), F.col("as_given").alias("first_g"))
     two = dictionary.select(F.col("part").alias("second"), F.col("as_family").alias("second_f"), F.col("as_given").alias("second_g"))
-    return names.join(one, "first", "left").join(two, "second", "left")
+    read = names.join(one, "first", "left").join(two, "second", "left")
+    text = F.concat("first", "second")
+    odd = read.where(text.rlike("^\\p{IsHan}{2,6}$") & F.col("order").isin("F") & F.col("kind").isin("full", "whole") & (F.col("first_f").isNull() | F.col("second_g").isNull()))
+    at = odd.select(*[c for c in names.columns if c not in ("kind", "first", "second", "order")], text.alias("_t"), F.length("first").alias("_n"), F.explode(F.sequence(F.lit(1), F.length(text) - 1)).alias("_i"))
+    cut = at.select("*", F.lit("full").alias("kind"), F.expr("substring(_t, 1, _i)").alias("first"), F.expr("substring(_t, _i + 1)").alias("second")).join(one, "first").join(two, "second")
+    forward = cut.where("_i <> _n and first_f is not null and second_g is not null").withColumn("order", F.lit("F"))
+    reverse = cut.where("first_g is not null and second_f is not null").withColumn("order", F.lit("G"))
+    return read.unionByName(forward.select(*read.columns)).unionByName(reverse.select(*read.columns))
 
 
 # --- canonical rewritings ----------------------------------------------------------------------------
@@ -92,21 +112,27 @@ def _sound(part: str, known: str | None) -> str | None:
     return known if is_han(part) else kana_to_latin(part)
 
 
-def rewritings(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None]) -> dict[str, str]:
-    """Every canonical form of a name, with its side: b meets all, t (typed short) and x (expansion of a full name) meet each other only.
+def rewritings(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None], given: bool = False, part: bool = False) -> dict[str, str]:
+    """Every canonical form of a name, with its side: b meets all, t (typed short) meets t and x (expansion of a full name).
 
-    first, second: readings of the parts as family and as given name.
+    first, second: readings of the parts as family and as given name. With `given`, forms of the given name alone as well;
+    `part` tells that a name of one word is known as a part of names, so that it isn't a full name written without blank.
     """
     out: dict[str, str] = {}
     if p.kind == "whole":
         if not is_han(p.first):
             r = reading(p.first)
-            if len(r) >= 4:
+            if len(r) >= 4 and not part:
                 out["R" + r] = "b"
-        out["H" + p.first.lower()] = "b"
+            if given and len(r) >= 2:
+                out["G" + r] = "t"
+        if not part:
+            out["H" + p.first.lower()] = "b"
         return out
     if p.kind == "pet":
         f, g = _sound(p.first, first[0]), reading(p.second)
+        if not p.first:
+            return {"Q" + g: "t"} if given and len(g) >= 2 else {}
         if f and g:
             out[f"N{reading(f)}|{g}"] = "t"
         if is_han(p.second) and second[1]:
@@ -138,8 +164,12 @@ def rewritings(p: Parts, first: tuple[str | None, str | None], second: tuple[str
         if p.first.isascii() and p.second.isascii():
             out.setdefault("R" + reading(rg + rf), "b")
         out[f"I{a}|{b[0]}"] = out[f"J{b}|{a[0]}"] = "x"
+        if given:
+            out["G" + b] = "x"
         for n in range(2, len(b) + 1):
             out.setdefault(f"N{a}|{b[:n]}", "x")
+            if given:
+                out["Q" + b[:n]] = "x"
     return out
 
 
@@ -194,36 +224,145 @@ def parts_of(b: pd.DataFrame, key: str) -> Iterator[tuple[str, Parts, tuple[str
         yield k, Parts(kind, f, s, o), (none(ff), none(fg)), (none(sf), none(sg)), bool(latin)
 
 
-def _emit(kind: str, key: str, keep: Broadcast | None, sides: str):
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def lexicon(dictionary: DataFrame) -> DataFrame:
+    """(`role`, `sound`): the readings that the dictionary knows of family (F) and given names (G)."""
+
+    def sounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows: list[tuple[str, str, str]] = []
-            for k, p, one, two, _ in parts_of(b, key):
-                if kind == "rewritings":
-                    rows += [(k, form, side) for form, side in rewritings(p, one, two).items() if side in sides]
-                elif p.kind == "full":
-                    rows += [(k, form, "b") for form in slips(p, one, two, None if keep is None else keep.value)]
-            yield kept(rows, key, keep if kind == "rewritings" else None)
+            yield pd.DataFrame([(role, reading(r)) for role, c in (("F", "as_family"), ("G", "as_given")) for r in b[c] if r], columns=["role", "sound"])
+
+    return dictionary.mapInPandas(sounds, "role string, sound string").distinct()
+
+
+def typed_sounds(names: DataFrame) -> DataFrame:
+    """Names that aren't in Han with the sounds of their parts (`one`, `two`)."""
+
+    def sounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(one=[reading(x) for x in b["first"]], two=[reading(x) for x in b["second"]])
+
+    return names.where("kind in ('full', 'whole') and not first rlike '\\\\p{IsHan}' and not second rlike '\\\\p{IsHan}'").select("first", "second").distinct().mapInPandas(sounds, "first string, second string, one string, two string")
+
+
+def in_dictionary(names: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(`first`, `second`, `known`) of names in letters or kana: whether the dictionary knows all their parts in their roles, in either order; names of one part in any role."""
+    known = lexicon(dictionary).groupBy("sound").agg(F.max(F.col("role") == "F").alias("f"), F.max(F.col("role") == "G").alias("g"))
+    each = typed_sounds(names)
+    for part in ("one", "two"):
+        each = each.join(known.select(F.col("sound").alias(part), F.col("f").alias(f"{part}_f"), F.col("g").alias(f"{part}_g")), part, "left")
+    both = (F.col("one_f") & F.col("two_g")) | (F.col("one_g") & F.col("two_f")) | ((F.col("two") == "") & F.col("one_f").isNotNull())
+    return each.select("first", "second", F.coalesce(both, F.lit(False)).alias("known"))
+
+
+@lru_cache(maxsize=100_000)
+def _left(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of what remains of a word, and the number of letters left out."""
+    left = remains(word)
+    return text_hashes(list(left)), np.fromiter(left.values(), np.int8, len(left))
+
+
+def slip_hashes(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that a full name shares with another of at most two slips, and how many letters each leaves out.
+
+    The parts may stand in either order. Both the letters as typed and their reading are taken, as a slip may break a rule of romanisation.
+    """
+    f, g, one, two = (p.second, p.first, second, first) if p.order == "G" else (p.first, p.second, first, second)
+    rf, rg = _sound(f, one[0]), _sound(g, two[1])
+    if not rf or not rg:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    hashes, counts = [], []
+    for a, b in {(letters(rf), letters(rg)), (reading(rf), reading(rg))}:
+        (hx, nx), (hy, ny) = _left(a), _left(b)
+        n = nx[:, None] + ny[None, :]
+        few = n <= 2
+        hashes.append(_joint(hx[:, None], hy[None, :])[few])
+        counts.append(n[few])
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def wrong_sign(p: Parts) -> list[str]:
+    """Forms that an unspaced name of four Han characters shares with one of which a single character differs."""
+    whole = p.first + p.second if p.order != "G" else p.second + p.first
+    return [f"X{whole[:i]}_{whole[i + 1 :]}" for i in range(4)] if len(whole) == 4 and is_han(whole) else []
 
-    return make
 
+_FORMS = "entity string, h long, kind string, side string, slips int, name long"
 
-def name_forms(names: DataFrame, key: str, kind: str = "rewritings", keep: Broadcast | None = None, sides: str = "btx") -> DataFrame:
-    """(`key`, `form`, `side`) of all names; `kind` is rewritings or slips. With a filter, forms that nobody wants aren't made."""
-    return names.mapInPandas(_emit(kind, key, keep, sides), f"{key} string, form string, side string")
 
+def _stated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows: list[tuple[str, str, str, None]] = []
+        keys, hashes, left = [], [], []
+        for (k, p, one, two, _), short, known in zip(parts_of(b, "entity"), b["short"], b["known"], strict=True):
+            rows += [(k, form, side, None) for form, side in rewritings(p, one, two, True, bool(known)).items() if side == "b" or (side == "t" and (short or p.kind == "full"))]
+            rows += [(k, form, "b", None) for form in wrong_sign(p)]
+            if p.kind == "full" and known is not None and not known:
+                h, n = slip_hashes(p, one, two)
+                keys += [k] * len(h)
+                hashes.append(h)
+                left.append(n)
+        yield _frame(rows)
+        if keys:
+            yield _slip_frame(keys, np.concatenate(hashes), "t", np.concatenate(left), None)
 
-def one_side(forms: DataFrame, key: str) -> DataFrame:
-    """Each form of a key once; what it is both typed as and an expansion of meets all."""
-    each = forms.groupBy(key, "form").agg(F.max("side").alias("side"), F.min("side").alias("_low"))
-    return each.select(key, "form", F.when(F.col("side") == F.col("_low"), F.col("side")).otherwise("b").alias("side"))
 
+def _frame(rows: list[tuple[str, str, str, str | None]]) -> pd.DataFrame:
+    hashes = text_hashes([r[1] for r in rows]).view(np.int64)
+    names = np.where([r[3] is None for r in rows], 0, text_hashes([r[3] or "" for r in rows]).view(np.int64))
+    return pd.DataFrame({"entity": [r[0] for r in rows], "h": hashes, "kind": [r[1][0] for r in rows], "side": [r[2] for r in rows], "slips": np.zeros(len(rows), np.int32), "name": names.astype(np.int64)})
 
-def entity_rewritings(names: DataFrame) -> DataFrame:
-    """All rewritings of the entities' names; of the expansions only those that a short form may ask for."""
-    stated = cut_lineage(name_forms(names, "entity", sides="bt"))
-    short = text_filter(stated.where("side = 't'").select("form"), form_hashes)
-    return one_side(stated.unionByName(name_forms(names, "entity", keep=short, sides="x")), "entity")
+
+def _slip_frame(keys: object, hashes: np.ndarray, side: str, left: np.ndarray, names: np.ndarray | None) -> pd.DataFrame:
+    name = np.zeros(len(hashes), np.int64) if names is None else names.view(np.int64)
+    return pd.DataFrame({"entity": keys, "h": hashes.view(np.int64), "kind": "D", "side": side, "slips": left.astype(np.int32), "name": name})
+
+
+def _offered(keep: Broadcast):
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple[str, str, str, str]] = []
+            keys: list[str] = []
+            sounds: list[str] = []
+            hashes, left, owners = [], [], []
+            for (k, p, one, two, _), known in zip(parts_of(b, "entity"), b["known"], strict=True):
+                forms = rewritings(p, one, two, True)
+                sound = next((form for form in forms if form[0] == "R"), None)
+                if sound is None:
+                    continue
+                rows += [(k, form, "x", sound) for form, side in forms.items() if side == "x"]
+                if known is None or known:
+                    h, n = slip_hashes(p, one, two)
+                    hashes.append(h)
+                    left.append(n)
+                    owners.append(np.full(len(h), len(keys)))
+                    keys.append(k)
+                    sounds.append(sound)
+            frame = _frame(rows)
+            yield frame[passes(keep.value, frame["h"].to_numpy().view(np.uint64))]
+            if keys:
+                h = np.concatenate(hashes)
+                wanted = passes(keep.value, h)
+                who = np.concatenate(owners)[wanted]
+                yield _slip_frame(np.array(keys, object)[who], h[wanted], "x", np.concatenate(left)[wanted], text_hashes(sounds)[who])
+
+    return make
+
+
+def entity_forms(names: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(`entity`, `h`: the hash of a form, `kind`, `side`, `slips`, `name`: the full name it may be short for) of all names of the entities, each form of an entity once.
+
+    Forms are known by 64-bit hashes only: a chance collision would also have to agree in date or place to link. Short forms
+    are asked for only by entities that state no full name, slip forms only by names that the
+    dictionary doesn't know; expansions and slips of other names are made only where something may ask for them.
+    """
+    full = names.where("kind = 'full'").select("entity").distinct().withColumn("_full", F.lit(True))
+    marked = names.join(full, "entity", "left").join(in_dictionary(names, dictionary), ["first", "second"], "left")
+    marked = cut_lineage(marked.withColumn("short", F.col("_full").isNull()).drop("_full"))
+    stated = cut_lineage(marked.mapInPandas(_stated, _FORMS))
+    asked = filter_of(stated.where("side = 't'").select(F.pmod("h", F.lit(BITS)).alias("bit")))
+    offered = marked.where("kind = 'full'").mapInPandas(_offered(asked), _FORMS)
+    each = stated.unionByName(offered).groupBy("entity", "h", "kind").agg(F.max("side").alias("_high"), F.min("side").alias("_low"), F.min("slips").alias("slips"), F.max(F.nullif("name", F.lit(0))).alias("name"))
+    return each.select("entity", "h", "kind", F.when(F.col("_low") == "b", "b").when(F.col("_low") == "t", "t").otherwise("x").alias("side"), "slips", "name")
 
 
 # --- evidence besides the name ------------------------------------------------------------------------
@@ -275,16 +414,6 @@ def with_rates(entities: DataFrame) -> DataFrame:
     return e.select("entity", "date", "level", "year", "place", rate("_nd").alias("p_day"), rate("_ny").alias("p_year"), rate("_np").alias("p_place"))
 
 
-def chance(agreed: Column, a: str, b: str, bearers: Column) -> Column:
-    """Entities expected to fit as well by chance: other persons that bear the rewriting times the share that agrees in date and place."""
-    day, year, place = F.greatest(f"{a}.p_day", f"{b}.p_day"), F.greatest(f"{a}.p_year", f"{b}.p_year"), F.greatest(f"{a}.p_place", f"{b}.p_place")
-    dated = F.when(agreed == 3, day).when(agreed == 2, year / 12).when(agreed == 1, year).otherwise(1.0)
-    x, y = F.col(f"{a}.place"), F.col(f"{b}.place")
-    comparable = x.isNotNull() & y.isNotNull() & (x.rlike("^[ -~]+$") == y.rlike("^[ -~]+$"))
-    placed = F.when(comparable & (x == y), place).when(comparable, F.lit(30.0)).otherwise(1.0)
-    return (F.greatest(bearers - 1, F.lit(0)) + UNSEEN) * dated * placed
-
-
 def persons() -> Column:
     """How many persons at least bear a form, as an aggregate over its entities: those born on different days, or without date in different places.
 
@@ -295,65 +424,142 @@ def persons() -> Column:
     return F.greatest(born, F.size(F.collect_set(F.when(F.col("level") == 0, F.col("place")))), F.lit(1))
 
 
-def undated_pairs(full: DataFrame, meets: Column) -> DataFrame:
-    """Pairs `a`, `b` of which `a` has no date, or neither has: all that chance() lets pass.
+def place_classes(met: DataFrame) -> DataFrame:
+    """(`place`, `same`): places with the one by which they are known, learned from pairs of one person (`pa`, `pb`).
 
-    A form of one person links whatever the places are; one of several only bearers of one place, which is part of the
-    equi-join then, as without date and place the expected number of others is at least 1. Forms of many entities are joined in parts.
+    A place in Latin letters stands for the native one, another for the commoner one that it is paired with; the pair must be
+    met twice and outweigh all others of the place.
     """
-    alone = F.col("bearers") - 1 + UNSEEN <= CHANCE
-    keyed = full.withColumn("at", F.when(alone, F.lit("")).otherwise(F.col("place"))).where("at is not null").where(alone | ((F.col("bearers") - 1 + UNSEEN) * F.col("p_place") <= CHANCE))
-    parts = F.when(F.col("entities") > NAMESAKES, PARTS).otherwise(1)
-    a = keyed.where("year is null").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    b = keyed.withColumn("part", F.pmod(F.xxhash64("entity"), parts).cast("int"))
-    ordered = F.when(F.col("b.year").isNull(), F.col("a.entity") < F.col("b.entity")).otherwise(F.col("a.entity") != F.col("b.entity"))
-    return a.alias("a").join(b.alias("b"), meets & (F.col("a.at") == F.col("b.at")) & (F.col("a.part") == F.col("b.part")) & ordered)
+    both = met.where("pa is not null and pb is not null")
+    sides = both.select(F.col("pa").alias("place"), F.col("pb").alias("same")).unionByName(both.select(F.col("pb").alias("place"), F.col("pa").alias("same")))
+    n = sides.groupBy("place", "same").agg(F.count("*").alias("n"))
+    common = n.groupBy("place").agg(F.sum("n").alias("c"))
+    pairs = n.where("place <> same").join(common, "place").join(common.select(F.col("place").alias("same"), F.col("c").alias("d")), "same")
+    latin = lambda c: F.col(c).rlike(_LATIN)
+    upward = (latin("place") & ~latin("same")) | ((latin("place") == latin("same")) & (F.struct("d", "same") > F.struct("c", "place")))
+    best = pairs.groupBy("place").agg(F.max(F.when(upward, F.struct("n", "same"))).alias("b"), F.sum("n").alias("all"))
+    known = cut_lineage(best.where("b.n >= 2 and 2 * b.n > all").select("place", F.col("b.same").alias("same")))
+    further = known.select(F.col("place").alias("same"), F.col("same").alias("_next"))
+    return known.join(further, "same", "left").select("place", F.coalesce("_next", "same").alias("same"))
+
+
+def _spread(near: float) -> Column:
+    """Persons expected to bear a form besides the one at hand, times how much rarer its kind of slip is than a spelling by rule.
+
+    Nearly every name has neighbours of which one sign differs; their mean number `near` counts where fewer are known for a form.
+    """
+    others = F.greatest(F.col("bearers") - 1, F.lit(0)) + UNSEEN
+    wrong = F.greatest(F.col("bearers") - 1, F.lit(near)) * WRONG_SIGN + UNSEEN
+    return F.when(F.col("kind") == "X", wrong).when(F.col("slips") > 1, others * SECOND_SLIP).otherwise(others)
 
 
 def candidates(forms: DataFrame, entities: DataFrame) -> DataFrame:
-    """(`a`, `b`, `chance`, `agreed`) of entities that share a rewriting and don't conflict in date.
+    """(`a`, `b`, `chance`, `agreed`) of entities that share a form, don't conflict in date, and fit better than CHANCE.
 
-    Equi-joins on the rewriting and, where both know it, the year of birth; entities without date meet
-    by undated_pairs().
+    chance: the persons expected to fit as well, which is those that bear the form besides times the share that agrees in date and place.
+    Equi-joins on the form and what both state: the day, else the year; where one has no date the place, unless the form
+    alone suffices. Bearers for which even the best agreement leaves more than CHANCE don't take part, so forms of many persons make no
+    pairs that the threshold excludes.
     """
     known = cut_lineage(forms.join(entities, "entity"))
-    shared = known.groupBy("form").agg(F.count("*").alias("entities"), persons().alias("bearers")).where("entities > 1")
-    full = known.join(shared, "form")
-    full = cut_lineage(full.select("entities", F.xxhash64("form").alias("h"), "form", "side", "bearers", "entity", "date", "level", "year", "place", "p_day", "p_year", "p_place"))
-    a, b = full.alias("a"), full.alias("b")
-    meets = (F.col("a.h") == F.col("b.h")) & (F.col("a.form") == F.col("b.form")) & (~F.col("a.side").isin("t", "x") | ~F.col("b.side").isin("t", "x") | (F.col("a.side") == "t") | (F.col("b.side") == "t"))
-    dated = a.join(b, meets & (F.col("a.entity") < F.col("b.entity")) & (F.col("a.year") == F.col("b.year")))
-
-    def scored(x: DataFrame) -> DataFrame:
-        agreed = dates_agree("a", "b")
+    shared = known.groupBy("h").agg(F.count("*").alias("entities"), F.greatest(persons(), F.approx_count_distinct("name")).alias("bearers"), F.max("side").alias("_high"), F.min("side").alias("_low")).where("entities > 1 and not (_high = 'x' and _low = 'x')").drop("_high", "_low")
+    full = cut_lineage(known.join(shared, "h"))
+    n = full.where("kind = 'X'").agg(F.sum(F.col("bearers") - 1).alias("n"), F.count_distinct("entity").alias("all")).first()
+    spread = _spread(float((n["n"] or 0) / max(n["all"], 1)))
+    full = full.withColumn("spread", spread)
+    placed = F.coalesce(F.col("p_place"), F.lit(1.0))
+    dates = {"day": F.col("p_day"), "year": F.when(F.col("level") == 1, F.col("p_year")).otherwise(F.col("p_year") / 12)}
+    columns = ["h", "side", "slips", "spread", "entity", "date", "level", "year", "place", "p_day", "p_year", "p_place"]
+
+    def sides(x: DataFrame, y: DataFrame, meets: Column) -> DataFrame:
+        return x.alias("a").join(y.alias("b"), (F.col("a.h") == F.col("b.h")) & ~((F.col("a.side") == "x") & (F.col("b.side") == "x")) & meets)
+
+    def pairs(x: DataFrame, agreed: Column) -> DataFrame:
         first, second = F.least("a.entity", "b.entity"), F.greatest("a.entity", "b.entity")
-        return x.select(first.alias("a"), second.alias("b"), chance(agreed, "a", "b", F.col("a.bearers")).alias("chance"), agreed.alias("agreed")).where("agreed >= 0")
-
-    return scored(dated).unionByName(scored(undated_pairs(full, meets))).groupBy("a", "b").agg(F.min("chance").alias("chance"), F.max("agreed").alias("agreed"))
+        swap = F.col("a.entity") > F.col("b.entity")
+        spread = F.greatest("a.spread", "b.spread")
+        worst = [F.greatest(f"a.{c}", f"b.{c}").alias(c) for c in ("p_day", "p_year", "p_place")]
+        places = [F.when(swap, F.col("b.place")).otherwise(F.col("a.place")).alias("pa"), F.when(swap, F.col("a.place")).otherwise(F.col("b.place")).alias("pb")]
+        return x.select(first.alias("a"), second.alias("b"), spread.alias("spread"), *worst, *places, agreed.alias("agreed")).where("agreed >= 0")
+
+    day = full.where((F.col("level") == 3) & (F.col("spread") * dates["day"] * placed <= CHANCE)).select(*columns)
+    by_day = cut_lineage(pairs(sides(day, day, (F.col("a.date") == F.col("b.date")) & (F.col("a.entity") < F.col("b.entity"))), F.lit(3)))
+    same = cut_lineage(place_classes(by_day.where(F.col("spread") * F.col("p_day") < 0.02).groupBy("a", "b").agg(F.max("pa").alias("pa"), F.max("pb").alias("pb"))))
+    year = full.where((F.col("level") > 0) & (F.col("spread") * F.least(dates["year"], F.when(F.col("level") == 3, F.col("p_year") / 12).otherwise(1.0)) * placed <= CHANCE)).select(*columns)
+    coarse = year.where("level < 3")
+    by_year = pairs(sides(coarse, year, (F.col("a.year") == F.col("b.year")) & ((F.col("b.level") == 3) | (F.col("a.entity") < F.col("b.entity")))), dates_agree("a", "b"))
+    undated = undated_pairs(full.where("kind <> 'X'").select(*columns, "entities"), same, sides)
+    return scored(by_day.unionByName(by_year).unionByName(pairs(undated, F.lit(0))), same)
+
+
+def undated_pairs(full: DataFrame, same: DataFrame, sides: Callable[[DataFrame, DataFrame, Column], DataFrame]) -> DataFrame:
+    """Pairs `a`, `b` of which `a` has no date, or neither has: all that the threshold lets pass.
+
+    A form that suffices alone links whatever the places are; another only bearers of one place, which is part of the
+    equi-join then. Forms of many entities are joined in parts.
+    """
+    alone = F.col("spread") <= CHANCE
+    named = full.join(same, "place", "left").withColumn("at", F.when(alone, F.lit("")).otherwise(F.coalesce("same", "place"))).drop("same")
+    keyed = named.where(F.col("at").isNotNull() & (alone | (F.col("spread") * F.col("p_place") <= CHANCE)))
+    parts = (F.col("entities") / SPLIT).cast("int") + 1
+    a = keyed.where("year is null").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    b = keyed.withColumn("part", F.pmod(F.xxhash64("entity"), parts).cast("int"))
+    ordered = F.when(F.col("b.year").isNull(), F.col("a.entity") < F.col("b.entity")).otherwise(F.col("a.entity") != F.col("b.entity"))
+    return sides(a, b, (F.col("a.at") == F.col("b.at")) & (F.col("a.part") == F.col("b.part")) & ordered)
 
 
-def strongest(links: DataFrame, within: float = 8.0) -> DataFrame:
-    """Links whose chance is at most CHANCE and not much above that of the best link of either end."""
-    good = cut_lineage(links.where(F.col("chance") <= CHANCE))
-    ends = good.select(F.col("a").alias("e"), "chance").unionByName(good.select(F.col("b").alias("e"), "chance"))
-    best = ends.groupBy("e").agg(F.min("chance").alias("c"))
-    x = good.join(best.select(F.col("e").alias("a"), F.col("c").alias("ca")), "a").join(best.select(F.col("e").alias("b"), F.col("c").alias("cb")), "b")
-    return x.where((F.col("chance") <= F.col("ca") * within) | (F.col("chance") <= F.col("cb") * within)).select("a", "b", "chance", "agreed")
+def scored(pairs: DataFrame, same: DataFrame) -> DataFrame:
+    """Pairs with their `chance`, places compared by their common names, each pair once."""
+    named = pairs
+    for c in ("pa", "pb"):
+        named = named.join(same.select(F.col("place").alias(c), F.col("same").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    agreed, x, y = F.col("agreed"), F.col("pa"), F.col("pb")
+    dated = F.when(agreed == 3, F.col("p_day")).when(agreed == 2, F.col("p_year") / 12).when(agreed == 1, F.col("p_year")).otherwise(1.0)
+    comparable = x.isNotNull() & y.isNotNull() & (x.rlike(_LATIN) == y.rlike(_LATIN))
+    placed = F.when(comparable & (x == y), F.col("p_place")).when(comparable, F.lit(OTHER_PLACE)).otherwise(1.0)
+    each = named.groupBy("a", "b").agg(F.min(F.col("spread") * dated * placed).alias("chance"), F.max("agreed").alias("agreed"))
+    return each.where(F.col("chance") <= CHANCE)
 
 
-def variant_groups(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """(`entity`, `group`): entities linked by shared rewritings; those without link are missing.
+def resolve(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """(`entity`, `group`) in which no two members conflict in date.
 
-    names: (`entity` and typed parts with readings). Two rounds: rewritings by rule first; names in Latin
-    letters that no rule linked then look for full names one slip per part away.
+    Links are taken by the exactness of the date. Those with a day link among themselves, which is transitive;
+    then those with a month, a year and without date each join the one group that fits best, or link among themselves where no group fits.
+    One that fits two groups about equally well joins neither.
+    """
+    level = entities.select("entity", "level")
+    both = links.select(F.col("a").alias("entity"), F.col("b").alias("other"), "chance").unionByName(links.select(F.col("b").alias("entity"), F.col("a").alias("other"), "chance"))
+    edges = cut_lineage(both.join(level, "entity").join(level.select(F.col("entity").alias("other"), F.col("level").alias("other_level")), "other"))
+    days = edges.where("level = 3").select("entity").distinct()
+    found = connected(edges.where("level = 3 and other_level = 3").select(F.col("entity").alias("a"), F.col("other").alias("b")))
+    groups = cut_lineage(days.join(found, "entity", "left").select("entity", F.coalesce("group", "entity").alias("group")))
+    for now in (2, 1, 0):
+        mine = edges.where(F.col("level") == now)
+        groups = cut_lineage(groups.unionByName(_joining(mine.where(F.col("other_level") > now), groups)))
+        if now == 0:
+            free = mine.where("other_level = 0").join(groups, "entity", "left_anti")
+            groups = cut_lineage(groups.unionByName(_joining(free, groups)))
+        rest = cut_lineage(mine.select("entity").distinct().join(groups, "entity", "left_anti"))
+        among = mine.where(F.col("other_level") == now).join(rest, "entity", "left_semi").join(rest.select(F.col("entity").alias("other")), "other", "left_semi")
+        found = connected(among.select(F.col("entity").alias("a"), F.col("other").alias("b")))
+        groups = groups.unionByName(rest.join(found, "entity", "left").select("entity", F.coalesce("group", "entity").alias("group")))
+    several = groups.groupBy("group").agg(F.min("entity").alias("_lo"), F.max("entity").alias("_hi")).where("_lo <> _hi").select("group")
+    return groups.join(several, "group", "left_semi").select("entity", "group")
+
+
+def _joining(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(`entity`, `group`): the group that fits each entity best by its links; none where the next best fits half as well or better."""
+    fits = edges.join(groups.withColumnRenamed("entity", "other"), "other").groupBy("entity", "group").agg(F.min("chance").alias("chance"))
+    order = Window.partitionBy("entity").orderBy("chance", "group")
+    ranked = fits.withColumn("_next", F.lead("chance").over(order)).withColumn("_n", F.row_number().over(order))
+    return ranked.where("_n = 1 and (_next is null or _next >= 2 * chance)").select("entity", "group")
+
+
+def variant_groups(names: DataFrame, dictionary: DataFrame, entities: DataFrame) -> DataFrame:
+    """(`entity`, `group`): entities linked by shared forms of their names; those without link are missing.
+
+    names: (`entity` and typed parts with readings), with the dictionary that the readings come from. Empty tables give no rows.
     """
     known = cut_lineage(with_rates(entities))
-    forms = cut_lineage(entity_rewritings(names))
-    ruled = strongest(candidates(forms, known))
-    linked = ruled.select(F.col("a").alias("entity")).unionByName(ruled.select(F.col("b").alias("entity"))).distinct()
-    alone = names.where("latin and kind = 'full'").select("entity").distinct().join(linked, "entity", "left_anti")
-    alone = cut_lineage(alone)
-    searching = cut_lineage(name_forms(names.join(alone, "entity", "left_semi"), "entity", "slips").distinct().withColumn("side", F.lit("t")))
-    offered = name_forms(names.join(alone, "entity", "left_anti"), "entity", "slips", text_filter(searching.select("form"), form_hashes)).distinct().withColumn("side", F.lit("x"))
-    near = strongest(candidates(searching.unionByName(offered), known))
-    return connected(ruled.unionByName(near).select("a", "b"))
+    return resolve(candidates(entity_forms(names, dictionary), known), known)

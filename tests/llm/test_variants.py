@@ -3,7 +3,7 @@ from datetime import date
 from corvane.llm import names as n
 from corvane.llm.components import connected
 from corvane.llm.variant_queries import people_entities, people_names, people_rows
-from corvane.llm.variants import CHANCE, candidates, character_forms, variant_groups
+from corvane.llm.variants import CHANCE, candidates, character_forms, resolve, variant_groups
 from tests.conftest import rows
 
 PEOPLE = "id string, slug string, primary_name string, name_ja string, name_zh string, name_en string, birth_date date, birth_date_precision string, birthplace string"
@@ -31,10 +31,10 @@ def groups(spark, tmp_path, people, aliases=()):
     spark.createDataFrame(list(aliases), ALIASES).write.parquet(f"{folder}/person_aliases.parquet")
     r = people_rows(spark, folder)
     forms = character_forms(r, "name_ja", "name_zh")
-    typed, _ = people_names(r, spark, folder, forms)
+    typed, dictionary = people_names(r, spark, folder, forms)
     entities, _ = people_entities(r, forms)
     found = {}
-    for e, g in rows(variant_groups(typed, entities)):
+    for e, g in rows(variant_groups(typed, dictionary, entities)):
         found.setdefault(g, set()).add(e)
     return sorted(map(sorted, found.values()))
 
@@ -53,15 +53,27 @@ def test_namesakes_are_not_linked(spark, tmp_path):
     assert groups(spark, tmp_path / "b", [*BASE, person("9", "s9", "Shimosawa,Haruha", born=None, place=None)]) == []
 
 
+def test_names_of_other_lengths(spark, tmp_path):
+    taught = [person("k1", "k1", "森 美咲", None, None, "Misaki Mori", date(1961, 2, 3)), person("k2", "k2", "佐々木 健太", None, None, "Kenta Sasaki", date(1962, 2, 3)), person("k3", "k3", "桜井美咲", None, None, "Misaki Sakurai", date(1963, 2, 3)), person("k4", "k4", "佐々木 健", None, None, "Ken Sasaki", date(1964, 2, 3))]
+    typed = [("森美咲", 0), ("佐々木健太", 1), ("美咲桜井", 2), ("佐々木健", 3), ("桜丼美咲", 2), ("MSakurai", 2), ("Misaki K. Sakurai", 2), ("Dr Misaki Sakurai", 2), ("Misaki-chan", 2), ("Misaki", 2), ("Misaki Skauria", 2), ("Misaki Sakurrrai", 2)]
+    people = [person(f"t{i:02d}", f"t{i:02d}", name, born=taught[k][6]) for i, (name, k) in enumerate(typed)]
+    expected = {k: {f"k{k + 1}", *(f"t{i:02d}" for i, (_, j) in enumerate(typed) if j == k)} for k in range(4)}
+    assert groups(spark, tmp_path, [*BASE, *taught, *people]) == sorted(map(sorted, expected.values()))
+
+
+def test_stage_names_of_one_word_link_nobody_else(spark, tmp_path):
+    assert groups(spark, tmp_path, [*BASE, person("9", "s9", "Haruha Katsuragi", born=None, place=None)], [("a", "1", "HARUHA"), ("b", "4", "Haruha"), ("c", "9", "HARUHA")]) == []
+
+
 def test_aliases_are_names_in_every_script(spark, tmp_path):
     stage = [person("7", "s7", "鯉森栞太"), person("8", "s8", "Tamino Koiwa"), person("9", "s9", "鯉森栞太", born=date(1999, 1, 12), place="砂谷町")]
     assert groups(spark, tmp_path, [*BASE, *stage], [("a", "1", "鯉森栞太（艺名）"), ("b", "1", "コイワ タミノ"), ("c", "3", "鯉森栞太")]) == [["s1", "s7", "s8"]]
 
 
-def linked(spark, entities):
+def linked(spark, entities, kind="R"):
     schema = "entity string, date date, level int, year int, place string, p_day double, p_year double, p_place double"
     known = spark.createDataFrame([(e, d, level, d and d.year, place, 1e-4, 0.025, 0.01) for e, d, level, place in entities], schema)
-    forms = known.selectExpr("entity", "'Rhamiomiko' form", "'b' side")
+    forms = known.selectExpr("entity", "7L h", f"'{kind}' kind", "'b' side", "0 slips", "cast(null as long) name")
     return {r[:2] for r in rows(candidates(forms, known).where(f"chance <= {CHANCE}"), "a", "b")}
 
 
@@ -77,6 +89,27 @@ def test_forms_of_many_entities(spark):
     assert linked(spark, [("s1", D, 3, None), ("s2", date(1970, 8, 2), 3, None), ("z", None, 0, None)]) == set()
 
 
+def test_a_form_of_a_thousand(spark):
+    # a third as many days as bearers: each day links among itself, the others don't
+    many = [(f"s{i:04d}", date(1950 + i % 333 // 12, 1 + i % 333 % 12, 17), 3, None) for i in range(999)]
+    got = linked(spark, [*many, ("z", None, 0, None)])
+    assert got == {(f"s{a:04d}", f"s{b:04d}") for i in range(333) for a in (i, i + 333) for b in (i + 333, i + 666) if a < b}
+
+
+def test_one_wrong_sign_needs_a_date(spark):
+    assert linked(spark, [("a", D, 3, None), ("b", D, 3, None), ("c", None, 0, None)], "X") == {("a", "b")}
+
+
+def test_groups_hold_no_two_dates(spark):
+    entities = spark.createDataFrame([("a", 3), ("b", 3), ("c", 3), ("y", 1), ("z", 0), ("w", 0)], "entity string, level int")
+    links = [("a", "b", 1e-4), ("a", "y", 0.01), ("c", "y", 0.2), ("c", "z", 0.1), ("b", "z", 0.15), ("w", "z", 0.3)]
+    found = {}
+    for e, g in rows(resolve(spark.createDataFrame(links, "a string, b string, chance double"), entities)):
+        found.setdefault(g, set()).add(e)
+    # y fits a best; z fits two groups about equally well, so it joins neither and stays with w
+    assert sorted(map(sorted, found.values())) == [["a", "b", "y"], ["w", "z"]]
+
+
 def test_nulls_repeats_and_blank_names(spark, tmp_path):
     odd = [(None,) * 9, person("5", None, None, born=None, place=None), person("6", "", "", born=None), person("7", "s7", "​ 　"), person("8", "s8", "x" * 20_000), *BASE, *BASE]
     assert groups(spark, tmp_path, odd, [("a", None, None), ("b", "1", "Shimosawa Haruha"), ("c", "1", "")]) == []
