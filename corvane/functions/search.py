@@ -41,13 +41,14 @@ def best_match(query: str, values: Column) -> Column:
 def search(df: DataFrame, query: str, values: Column, *, is_normalized: bool = False) -> DataFrame:
     """`df` with `match`; a query that isn't blank keeps only rows with a hit, a blank one keeps all with NULL.
 
-    The hit's value is the normalized one; `match.index` tells which original it is.
+    The hit's value is the original one, as it stands in `values`.
     """
     q = normalize_search_text(query)
     if not q:
         return df.withColumn("match", F.lit(None).cast("struct<index:int,kind:string,score:int,value:string>"))
     prepared = df.withColumn("_values", values if is_normalized else normalized_each(values))
-    return prepared.withColumn("match", best_match(q, F.col("_values"))).where(F.col("match").isNotNull()).drop("_values")
+    hits = prepared.withColumn("match", best_match(q, F.col("_values"))).where(F.col("match").isNotNull()).drop("_values")
+    return hits.withColumn("match", F.col("match").withField("value", F.element_at(values, F.col("match.index") + 1)))
 
 
 def matches(query: str, normalized_values: Column) -> Column:

@@ -13,6 +13,11 @@ from pyspark.sql.types import ArrayType, StringType
 
 #: Strokes that count as a hyphen in search.
 _HYPHENS = re.compile("[‐-―ー]")
+_DECOMPOSED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+#: Letters with accents, the letters without, and accents that stand for themselves.
+_ACCENTED = "".join(c for c, x in _DECOMPOSED.items() if x.isascii())
+_PLAIN = "".join(x for x in _DECOMPOSED.values() if x.isascii())
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
 def normalize_search_text(value: str) -> str:
@@ -31,6 +36,11 @@ def _compatible_each(values: pd.Series) -> pd.Series:
     return values.map(lambda a: None if a is None else [None if v is None else unicodedata.normalize("NFKC", v) for v in a])
 
 
+def _unaccented(value: Column) -> Column:
+    """Latin letters without their accents, by a table of all that decompose to an ASCII letter; kana keep their voicing marks."""
+    return F.translate(value, _ACCENTED + _MARKS, _PLAIN)
+
+
 def _folded(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(value), "[‐-―ー]", "-"), r"(?U)[\s\x{FEFF}]+", " "))
 
@@ -62,8 +72,11 @@ def initials(name: Column, fallback: str = "AV") -> Column:
 
 
 def numeric_key(value: Column, width: int = 20) -> Column:
-    """A key under which runs of digits order as numbers and letter case doesn't matter."""
-    parts = F.regexp_extract_all(F.lower(value), F.lit(r"(\d+|\D+)"), 1)
+    """A key under which runs of digits order as numbers and neither letter case nor accents of Latin letters matter.
+
+    Kana keep their voicing marks.
+    """
+    parts = F.regexp_extract_all(F.lower(_unaccented(value)), F.lit(r"(\d+|\D+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, F.greatest(F.lit(width), F.length(p)), F.lit("0"))).otherwise(p)), "")
 
 

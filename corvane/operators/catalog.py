@@ -32,8 +32,14 @@ def tone(position: Column, tones: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in tones]), (position % len(tones) + 1).cast("int"))
 
 
+def _gate(slug: str | None = None) -> Column:
+    """The publication gate, of one slug where one is asked for."""
+    open_rows = F.col("status") == "published"
+    return open_rows if slug is None else open_rows & (F.col("slug") == slug)
+
+
 def published(df: DataFrame) -> DataFrame:
-    return df.where(F.col("status") == "published")
+    return df.where(_gate())
 
 
 def latest_releases(releases: DataFrame) -> DataFrame:
@@ -49,7 +55,8 @@ def latest_releases(releases: DataFrame) -> DataFrame:
 def casts(credits: DataFrame, people: DataFrame) -> DataFrame:
     """Of each work the published people credited, in billing order (none counts as 999): names and ids.
 
-    People credited several times in one work appear as often. Ties: credit type, then person.
+    People credited several times in one work appear as often. Ties: credit type, then person. Only id and name of people are joined; a
+    person credited by a large share of the rows is a skewed key of that join, which AQE splits.
     """
     named = credits.join(people.select(F.col("id").alias("person_id"), "primary_name"), "person_id")
     entry = F.struct(F.coalesce("billing_order", F.lit(LAST_BILLING)).alias("o"), "credit_type", "person_id", "primary_name")
@@ -57,17 +64,26 @@ def casts(credits: DataFrame, people: DataFrame) -> DataFrame:
     return listed.select("id", F.col("c.primary_name").alias("cast"), F.col("c.person_id").alias("cast_ids"))
 
 
-def assemble_works(tables: Tables) -> DataFrame:
-    """The view of published works that have a release, with their order by original title.
+def _of(children: DataFrame, key: str, parents: DataFrame | None) -> DataFrame:
+    """The children of some parents only, where a lookup has narrowed them."""
+    return children if parents is None else children.join(parents.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def assemble_works(tables: Tables, *, tones: bool = False, slug: str | None = None) -> DataFrame:
+    """The view of published works that have a release; with a slug, only the works of that slug.
 
-    `tone` turns with the position among all published works, those without release included.
+    Nothing is computed before an action, and what a query doesn't ask for isn't read. `tones` adds `tone`, which turns with the position among
+    all published works by original title, those without release included; that takes a total order of their ids and titles.
     """
-    works = with_position(published(tables["works"]).select("id", "slug", "title_original", "title_zh", "synopsis"), "position", F.col("title_original"), F.col("id"))
-    makers = tables["organizations"].select(F.col("id").alias("distributor_id"), F.coalesce("name_zh", "name").alias("maker"))
-    people = published(tables["people"]).select("id", "primary_name")
-    w = works.join(latest_releases(tables["releases"]), "id").join(makers, "distributor_id", "left").join(casts(tables["credits"], people), "id", "left")
+    works = tables.rows("works", "id", "slug", "title_original", "title_zh", "synopsis", where=_gate(slug))
+    found = None if slug is None else works
+    makers = tables.rows("organizations", "id", "name_zh", "name").select(F.col("id").alias("distributor_id"), F.coalesce("name_zh", "name").alias("maker"))
+    people = tables.rows("people", "id", "primary_name", where=_gate())
+    releases = _of(tables.rows("releases", "id", "work_id", "code", "release_date", "runtime_minutes", "medium", "distributor_id"), "work_id", found)
+    credits = _of(tables.rows("credits", "work_id", "person_id", "credit_type", "billing_order"), "work_id", found)
+    w = works.join(latest_releases(releases), "id").join(makers, "distributor_id", "left").join(casts(credits, people), "id", "left")
     none = F.array().cast("array<string>")
-    return w.select(
+    view = w.select(
         "id", "slug", "code",
         F.coalesce("title_zh", "title_original").alias("title"),
         F.col("title_original").alias("original_title"),
@@ -76,12 +92,23 @@ def assemble_works(tables: Tables) -> DataFrame:
         F.coalesce("maker", F.lit(NO_MAKER)).alias("maker"),
         F.coalesce("cast", none).alias("cast"),
         F.coalesce("cast_ids", none).alias("cast_ids"),
-        tone(F.col("position"), WORK_TONES).alias("tone"),
         F.coalesce("runtime_minutes", F.lit(0)).alias("runtime_minutes"),
         F.array(choose(F.col("medium"), MEDIA, NO_MEDIUM)).alias("tags"),
         F.coalesce("synopsis", F.lit(NO_SYNOPSIS)).alias("synopsis"),
-        "position",
     )
+    return _with_tone(view, tables, "works", "title_original", WORK_TONES, slug) if tones else view
+
+
+def _with_tone(view: DataFrame, tables: Tables, name: str, title: str, tones: list[str], slug: str | None) -> DataFrame:
+    """`view` with `tone`. All positions at once need a total order; those of a few rows are counts of what comes before them."""
+    ordered = tables.rows(name, "id", title, where=_gate())
+    if slug is None:
+        placed = with_position(ordered, "_at", F.col(title), F.col("id")).select("id", "_at")
+        return view.join(placed, "id").withColumn("tone", tone(F.col("_at"), tones)).drop("_at")
+    wanted = tables.rows(name, "id", title, where=_gate(slug)).toDF("_id", "_title")
+    # one row for each bearer of the slug
+    before = ordered.join(F.broadcast(wanted), F.struct(F.col(title), F.col("id")) < F.struct("_title", "_id")).groupBy("_id").agg(F.count("*").alias("_at"))
+    return view.join(before, F.col("id") == F.col("_id"), "left").withColumn("tone", tone(F.coalesce("_at", F.lit(0)), tones)).drop("_id", "_at")
 
 
 def timelines(events: DataFrame, people: DataFrame) -> DataFrame:
@@ -98,50 +125,116 @@ def work_counts(credits: DataFrame, works: DataFrame) -> DataFrame:
     return credits.join(works.select(F.col("id").alias("work_id")), "work_id", "left_semi").groupBy(F.col("person_id").alias("id")).agg(F.count("*").alias("work_count"))
 
 
-def assemble_people(tables: Tables) -> DataFrame:
-    """The view of published people, with their order by primary name; people without credits are kept."""
-    people = with_position(published(tables["people"]).select("id", "slug", "primary_name", "name_ja", "name_zh", "name_en", "biography", "active", "created_at"), "position", F.col("primary_name"), F.col("id"))
+def assemble_people(tables: Tables, *, tones: bool = False, slug: str | None = None) -> DataFrame:
+    """The view of published people, those without credits included; with a slug, only the people of that slug. As for `tones`, see assemble_works()."""
+    people = tables.rows("people", "id", "slug", "primary_name", "name_ja", "name_zh", "name_en", "biography", "active", "created_at", where=_gate(slug))
+    found = None if slug is None else people
     alias = F.struct("created_at", "id", "name")
-    aliases = tables["person_aliases"].groupBy(F.col("person_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(alias)), lambda a: a["name"]).alias("aliases"))
-    p = people.join(aliases, "id", "left").join(timelines(tables["career_events"], people), "id", "left").join(work_counts(tables["credits"], published(tables["works"])), "id", "left")
+    named = _of(tables.rows("person_aliases", "id", "person_id", "name", "created_at"), "person_id", found)
+    aliases = named.groupBy(F.col("person_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(alias)), lambda a: a["name"]).alias("aliases"))
+    events = _of(tables.rows("career_events", "id", "person_id", "type", "event_date", "note", "created_at"), "person_id", found)
+    credits = _of(tables.rows("credits", "work_id", "person_id", "credit_type"), "person_id", found)
+    counts = work_counts(credits, tables.rows("works", "id", where=_gate()))
+    p = people.join(aliases, "id", "left").join(timelines(events, people.select("id", "created_at")), "id", "left").join(counts, "id", "left")
     p = p.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).withColumn("_recorded", F.year("created_at"))
     p = p.withColumn("romanized_name", F.coalesce(F.get(F.filter("aliases", is_ascii), 0), F.col("name_en"), F.col("primary_name")))
-    return p.select(
+    view = p.select(
         "id", "slug",
         F.coalesce("name_zh", "primary_name").alias("name"),
         F.coalesce("name_ja", "primary_name").alias("original_name"),
         "romanized_name",
-        F.when(F.col("active"), ACTIVE).when(~F.col("active"), RETIRED).otherwise(UNKNOWN).alias("status"),
+        status_text(F.col("active")).alias("status"),
         F.coalesce("debut", "_recorded").alias("debut_year"),
         F.coalesce("work_count", F.lit(0)).alias("work_count"),
         initials(F.col("romanized_name")).alias("initials"),
-        tone(F.col("position"), PERSON_TONES).alias("tone"),
         "aliases",
         F.coalesce("biography", F.lit(NO_BIOGRAPHY)).alias("biography"),
         F.coalesce("timeline", F.array().cast("array<struct<year:int,label:string,detail:string>>")).alias("timeline"),
-        "primary_name", "position",
+        "primary_name",
     )
+    return _with_tone(view, tables, "people", "primary_name", PERSON_TONES, slug) if tones else view
+
+
+def status_text(active: Column) -> Column:
+    """The three states of a person by the column `active`."""
+    return F.when(active, ACTIVE).when(~active, RETIRED).otherwise(UNKNOWN)
+
+
+def status_value(text: Column) -> Column:
+    """The column `active` of a shown state: NULL for the unknown one."""
+    return F.when(text == ACTIVE, True).when(text == RETIRED, False)
 
 
 class Catalog:
-    """The read interface: both views and lookups by slug, from any source."""
+    """The read interface: both views, and records by slug with what belongs to them, from any source."""
 
     def __init__(self, tables: Tables) -> None:
         self.tables = tables
 
     def works(self) -> DataFrame:
-        return assemble_works(self.tables)
+        return assemble_works(self.tables, tones=True)
 
     def people(self) -> DataFrame:
-        return assemble_people(self.tables)
+        return assemble_people(self.tables, tones=True)
 
     def find_work(self, slug: str) -> DataFrame:
-        """At most one work."""
-        return self.works().where(F.col("slug") == slug).limit(1)
+        """At most one work, the one with the smallest id."""
+        return assemble_works(self.tables, tones=True, slug=slug).orderBy("id").limit(1)
 
     def find_person(self, slug: str) -> DataFrame:
-        """At most one person."""
-        return self.people().where(F.col("slug") == slug).limit(1)
+        """At most one person, the one with the smallest id."""
+        return assemble_people(self.tables, tones=True, slug=slug).orderBy("id").limit(1)
+
+    def work_record(self, slug: str) -> DataFrame:
+        """The work of find_work() with `people`, the views of its cast in billing order."""
+        work, people = self.find_work(slug), assemble_people(self.tables)
+        member = people_of_works(work, people).join(people, F.col("person_id") == F.col("id"))
+        listed = member.groupBy("work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*people.columns).alias("v")))), lambda x: x["v"]).alias("people"))
+        return work.join(listed, F.col("work_id") == F.col("id"), "left").drop("work_id")
+
+    def person_record(self, slug: str) -> DataFrame:
+        """The person of find_person() with `works`, the views of the works in whose cast they are, newest first."""
+        person, works = self.find_person(slug), assemble_works(self.tables)
+        linked = works_of_people(person, works).join(works, F.col("work_id") == F.col("id"))
+        newest = F.struct(F.col("release_date"), F.struct(*works.columns).alias("v"))
+        listed = linked.groupBy("person_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(newest))), lambda x: x["v"]).alias("works"))
+        return person.join(listed, F.col("person_id") == F.col("id"), "left").drop("person_id")
+
+
+def slug_ids(rows: DataFrame, slugs: DataFrame) -> DataFrame:
+    """(`slug`, `id`) of the slugs asked for that exist; of several bearers the smallest id."""
+    return rows.join(slugs.select("slug").distinct(), "slug", "left_semi").groupBy("slug").agg(F.min("id").alias("id"))
+
+
+def detail_medium(tags: Column) -> Column:
+    """The medium on a work's page; an unknown one shows as digital there."""
+    return F.when(F.array_contains(tags, MEDIA["physical"]), "实体").otherwise("数字")
+
+
+def detail_confidence(status: Column) -> Column:
+    """Whether a person's page counts as confirmed: not while the state is unknown."""
+    return F.when(status == UNKNOWN, "待审核").otherwise("已确认")
+
+
+def page_title(found: DataFrame, name: str, missing: str) -> DataFrame:
+    """One row with `title`: the column `name` of the row found, or `missing` where there is none."""
+    return found.agg(F.coalesce(F.first(name, ignorenulls=True), F.lit(missing)).alias("title"))
+
+
+def slugs(rows: DataFrame) -> DataFrame:
+    """The slugs that have a page."""
+    return rows.select("slug").where("slug is not null").distinct()
+
+
+def valid_at(aliases: DataFrame, day: Column) -> DataFrame:
+    """Aliases that held on a day: open ends hold, the last day of a period doesn't."""
+    return aliases.where((F.col("valid_from").isNull() | (F.col("valid_from") <= day)) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))))
+
+
+def last_releases(credits: DataFrame, releases: DataFrame) -> DataFrame:
+    """(`person_id`, `last_release`): the latest release of any work that credits the person; people without a dated one have NULL."""
+    latest = releases.groupBy("work_id").agg(F.max("release_date").alias("_last"))
+    return credits.select("work_id", "person_id").distinct().join(latest, "work_id").groupBy("person_id").agg(F.max("_last").alias("last_release"))
 
 
 def works_of_people(people: DataFrame, works: DataFrame, link_by: str = "id") -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.search import search
 from corvane.functions.text import numeric_key
+from corvane.operators.ranking import with_position
 
 #: The value of a filter that is off.
 ALL = "全部"
@@ -53,10 +54,11 @@ class PeopleFilter(_Params):
 
 
 def facet(df: DataFrame, column: str, *, descending: bool = False) -> DataFrame:
-    """The different values of a column, of an array's elements too, in order: numbers by size, text by code point."""
+    """The different values of a column, of an array's elements too, in order: numbers by size, text by Chinese order, equals by code point."""
     value = F.explode(column) if dict(df.dtypes)[column].startswith("array") else F.col(column)
     values = df.select(value.alias("value")).where("value is not null").distinct()
-    return values.orderBy(F.col("value").desc() if descending else F.col("value").asc())
+    keys = [chinese_order(F.col("value")), F.col("value")] if dict(values.dtypes)["value"] == "string" else [F.col("value")]
+    return values.orderBy(*[k.desc() if descending else k.asc() for k in keys])
 
 
 def chinese_order(value: Column) -> Column:
@@ -133,6 +135,16 @@ def filter_people(people: DataFrame, f: PeopleFilter, favorites: DataFrame | Non
     return search(df, f.q, person_values()).withColumn("completeness", person_completeness())
 
 
+def _work_place() -> list[Column]:
+    """The catalog's order of works."""
+    return [F.col("original_title").asc(), F.col("id").asc()]
+
+
+def _person_place() -> list[Column]:
+    """The catalog's order of people."""
+    return [F.col("primary_name").asc(), F.col("id").asc()]
+
+
 def work_order(sort: str) -> list[Column]:
     """The order of filtered works; equal rows keep the catalog's order."""
     keys = {
@@ -141,19 +153,19 @@ def work_order(sort: str) -> list[Column]:
         "name": [chinese_order(F.col("title")).asc()],
         "code": [chinese_order(F.col("code")).asc()],
     }.get(sort, [F.coalesce(F.col("match.score"), F.lit(0)).desc(), F.col("completeness").desc(), F.col("release_date").desc()])
-    return [*keys, F.col("position").asc()]
+    return [*keys, *_work_place()]
 
 
 def people_order(sort: str) -> list[Column]:
     name = chinese_order(F.col("name")).asc()
     keys = {"debut-newest": [F.col("debut_year").desc()], "debut-oldest": [F.col("debut_year").asc()], "name": [name]}.get(sort, [F.coalesce(F.col("match.score"), F.lit(0)).desc(), F.col("completeness").desc(), name])
-    return [*keys, F.col("position").asc()]
+    return [*keys, *_person_place()]
 
 
 def related_order(sort: str) -> list[Column]:
-    """The order of a person's works; names and codes compare digits as numbers and ignore case."""
+    """The order of a person's works; names and codes compare digits as numbers and ignore case and accents."""
     keys = {"oldest": [F.col("release_date").asc()], "name": [chinese_order(numeric_key(F.col("title"))).asc()], "code": [chinese_order(numeric_key(F.col("code"))).asc()]}.get(sort, [F.col("release_date").desc()])
-    return [*keys, F.col("position").asc()]
+    return [*keys, *_work_place()]
 
 
 def works_page(works: DataFrame, f: WorksFilter, favorites: DataFrame | None = None) -> DataFrame:
@@ -166,11 +178,41 @@ def people_page(people: DataFrame, f: PeopleFilter, favorites: DataFrame | None
     return filter_people(people, checked, favorites).orderBy(*people_order(checked.sort))
 
 
+def placed_works(works: DataFrame, f: WorksFilter, favorites: DataFrame | None = None) -> DataFrame:
+    """The works of works_page() with their `place` in it, from 0, instead of one sorted whole."""
+    checked = checked_works_filter(works, f)
+    return with_position(filter_works(works, checked, favorites), "place", *work_order(checked.sort))
+
+
+def placed_people(people: DataFrame, f: PeopleFilter, favorites: DataFrame | None = None) -> DataFrame:
+    """The people of people_page() with their `place` in it, from 0."""
+    checked = checked_people_filter(people, f)
+    return with_position(filter_people(people, checked, favorites), "place", *people_order(checked.sort))
+
+
+def related_places(links: DataFrame, works: DataFrame, sort: str) -> DataFrame:
+    """(`person_id`, `work_id`, `place` from 0) of each person's works (`person_id`, `work_id`) in one of the orders of related works."""
+    keys = related_order(sort)
+    named = works.select(F.col("id").alias("work_id"), F.col("id"), "title", "original_title", "code", "release_date")
+    window = Window.partitionBy("person_id").orderBy(*keys)
+    return links.join(named, "work_id").select("person_id", "work_id", (F.row_number().over(window) - 1).alias("place"))
+
+
+def any_tag(works: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """Works with at least one of several tags."""
+    return works.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags]).cast("array<string>")))
+
+
+def result_count(page: DataFrame) -> DataFrame:
+    """One row with `count`, how many rows a page's filters leave."""
+    return page.agg(F.count("*").alias("count"))
+
+
 def home_search(people: DataFrame, works: DataFrame, query: str) -> DataFrame:
-    """(`kind`, `id`, `label`, `position`): people, then works that the query finds, each in the catalog's order."""
-    p = search(people, query, person_values(with_aliases=False)).select(F.lit(0).alias("_kind"), F.lit("person").alias("kind"), "id", F.col("name").alias("label"), "position")
-    w = search(works, query, work_values(with_tags=False)).select(F.lit(1).alias("_kind"), F.lit("work").alias("kind"), "id", F.col("title").alias("label"), "position")
-    return p.unionByName(w).orderBy("_kind", "position").drop("_kind")
+    """(`kind`, `id`, `label`): people, then works that the query finds, each in the catalog's order."""
+    p = search(people, query, person_values(with_aliases=False)).select(F.lit(0).alias("_kind"), F.lit("person").alias("kind"), "id", F.col("name").alias("label"), F.col("primary_name").alias("_place"))
+    w = search(works, query, work_values(with_tags=False)).select(F.lit(1).alias("_kind"), F.lit("work").alias("kind"), "id", F.col("title").alias("label"), F.col("original_title").alias("_place"))
+    return p.unionByName(w).orderBy("_kind", "_place", "id").drop("_kind", "_place")
 
 
 def with_favorite(df: DataFrame, favorites: DataFrame) -> DataFrame:

@@ -67,19 +67,53 @@ def sequence_id(space: str, number) -> object:
     return F.concat(F.lit(f"00000000-0000-4000-{space}-"), F.lpad(number.cast("string"), 12, "0"))
 
 
-def write_all(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes all tables into a new folder beside the old one and exchanges them: a failure before that changes nothing."""
-    staged = f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(conf)
+def resolve_slugs(rows: DataFrame, persisted: DataFrame, slug: str = "slug") -> DataFrame:
+    """`rows` with `id`, the id that the persisted row of their slug bears; rows of slugs that aren't persisted are dropped, of several bearers the smallest id holds."""
+    ids = persisted.where("slug is not null").groupBy(F.col("slug").alias(slug)).agg(F.min("id").alias("id"))
+    return rows.drop("id").join(ids, slug)
+
+
+def _move(fs, source, target) -> None:
+    """Renames, or raises: a file system may tell of a failure by returning false only."""
+    if not fs.rename(source, target) or not fs.exists(target):
+        raise OSError(f"couldn't move {source} to {target}")
+
+
+def write_all(spark: SparkSession, tables: dict[str, DataFrame], folder: str, fs=None) -> None:
+    """Writes all tables into a new folder beside the old one and exchanges them.
+
+    A failure while writing changes nothing. If the exchange fails, the old folder is moved back; it is deleted only
+    after the new one is in its place, and if it can't be moved back the error names where it is.
+    """
+    place = folder.rstrip("/")
+    staged = f"{place}.{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs or path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old, target = path(staged), path(f"{staged}.old"), path(place)
     try:
         for name, df in tables.items():
             df.write.parquet(f"{staged}/{name}.parquet")
-        old = f"{staged}.old"
-        if fs.exists(path(folder)):
-            fs.rename(path(folder), path(old))
-        fs.rename(path(staged), path(folder))
-        fs.delete(path(old), True)
-    finally:
-        fs.delete(path(staged), True)
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    had = fs.exists(target)
+    if had:
+        try:
+            _move(fs, target, old)
+        except BaseException:
+            if fs.exists(target):
+                fs.delete(new, True)
+            raise
+    try:
+        _move(fs, new, target)
+    except BaseException as e:
+        if had:
+            try:
+                if not fs.exists(target):
+                    _move(fs, old, target)
+            except BaseException as again:
+                raise OSError(f"the old tables are in {old}, the new ones in {new}") from again
+        fs.delete(new, True)
+        raise OSError(f"{target} is as it was before") from e
+    if had:
+        fs.delete(old, True)

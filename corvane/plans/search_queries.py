@@ -5,7 +5,7 @@ Orders stand for works, line items for credits, customers for persons, parts for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import search as s
@@ -13,6 +13,8 @@ from corvane.functions import text as t
 from corvane.operators import library as lib
 from corvane.operators import load
 from corvane.operators.ranking import with_position
+from corvane.operators.catalog import assemble_works
+from corvane.sources.catalog_source import ParquetTables
 from corvane.sources.schema import duplicate_keys, orphans, outside_domain
 from corvane.sources.tables import table
 
@@ -47,19 +49,6 @@ def search_boolean(spark, folder):
     return table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type").where(s.matches("blue", _part_values())).select("p_partkey")
 
 
-def sort_relevance_top(spark, folder):
-    """The fifty most relevant hits: score, then price, then key."""
-    parts = table(spark, folder, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_retailprice")
-    hits = s.search(parts, "ring", _part_values(), is_normalized=True)
-    return hits.orderBy(F.col("match.score").desc(), F.col("p_retailprice").desc(), "p_partkey").limit(50).select("p_partkey", F.col("match.score").alias("score"))
-
-
-def normalize_text(spark, folder):
-    """Normalized codes as search compares them: those in ASCII, which SQL can fold too."""
-    codes = table(spark, folder, "releases", "id", "code").distinct().where(t.is_ascii(F.col("code")))
-    return codes.select("id", t.normalized(F.col("code")).alias("folded"))
-
-
 def normalize_codes(spark, folder):
     """Normalized codes of all releases, whatever they are written in."""
     return table(spark, folder, "releases", "id", "code").distinct().select("id", t.normalized(F.col("code")).alias("folded"))
@@ -91,53 +80,53 @@ def tone_rotation(spark, folder):
     return parts.select("p_partkey", F.element_at(tones, (F.col("position") % 4 + 1).cast("int")).alias("tone"))
 
 
-def maker_left_default(spark, folder):
-    """Customers with their nation, or a default where it has none of this region."""
-    nations = table(spark, folder, "nation", "n_nationkey", "n_name", "n_regionkey").where("n_regionkey = 1")
-    customers = table(spark, folder, "customer", "c_custkey", "c_nationkey")
-    return customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("maker"))
+def _owned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A library made of the tables: customers' favourites, and notes on suppliers and some customers."""
+    favorites = table(spark, folder, "customer", "c_custkey", "c_acctbal").where("c_acctbal > 5000").select(F.lit("person").alias("entity_type"), F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_custkey").cast("int").alias("place"))
+    people = table(spark, folder, "customer", "c_custkey", "c_mktsegment").where("c_mktsegment = 'MACHINERY'").select(F.lit("person").alias("entity_type"), F.col("c_custkey").cast("string").alias("entity_id"), F.array("c_mktsegment").alias("tags"), F.lit("seen").alias("note"), F.col("c_custkey").cast("int").alias("noted"))
+    works = table(spark, folder, "supplier", "s_suppkey", "s_name").select(F.lit("work").alias("entity_type"), F.col("s_suppkey").cast("string").alias("entity_id"), F.array("s_name").alias("tags"), F.lit("").alias("note"), (-F.col("s_suppkey")).cast("int").alias("noted"))
+    return favorites, people.unionByName(works)
 
 
-def debut_year(spark, folder):
-    """The year of each user's first sign-up, else of the first event."""
-    e = table(spark, folder, "events", "user_id", "event_type", "ts")
-    year = F.year("ts")
-    return e.groupBy("user_id").agg(F.coalesce(F.min(F.when(F.col("event_type") == "signup", year)), F.min(year)).alias("debut_year"))
+def _flat_library(df: DataFrame) -> DataFrame:
+    return df.select("entity_type", "entity_id", "favorite", "place", F.array_join("tags", ",").alias("tags"), "note", "noted")
 
 
-def timeline_nest(spark, folder):
-    """Each user's events in order, with labels."""
-    label = F.when(F.col("event_type") == "signup", "debut").when(F.col("event_type") == "purchase", "comeback").otherwise("other")
-    entry = F.struct("ts", "event_id", label.alias("label"))
-    e = table(spark, folder, "events", "user_id", "ts", "event_id", "event_type")
-    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["label"]), ",").alias("timeline"))
+def library_export(spark, folder):
+    """One row for each entity that is a favourite or has a note, at its place in the exported document."""
+    owned = lib.join_favorites_and_notes(*_owned(spark, folder))
+    at = with_position(owned, "at", *lib.export_order(owned))
+    return at.select("entity_type", "entity_id", "favorite", F.array_join("tags", ",").alias("tags"), "note", F.col("at").cast("int").alias("at"))
 
 
-def status_three_valued(spark, folder):
-    """The three states of people, unknown among them."""
-    return table(spark, folder, "people", "id", "active").distinct().select("id", F.when(F.col("active"), "active").when(~F.col("active"), "retired").otherwise("unconfirmed").alias("state"))
+def _annotations(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderpriority").where("o_custkey % 3 = 0")
+    return o.select(F.lit("person").alias("entity_type"), F.col("o_custkey").cast("string").alias("entity_id"), F.array("o_orderpriority").alias("tags"), F.lit("new").alias("note"), F.col("o_orderkey").cast("int").alias("noted"))
 
 
-def _owned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """A library made of the tables: customers' favourites, and notes on suppliers and some customers."""
-    favorites = table(spark, folder, "customer", "c_custkey", "c_acctbal").where("c_acctbal > 5000").select(F.lit("person").alias("entity_type"), F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_custkey").cast("int").alias("place"))
-    people = table(spark, folder, "customer", "c_custkey", "c_mktsegment").where("c_mktsegment = 'MACHINERY'").select(F.lit("person").alias("entity_type"), F.col("c_custkey").cast("string").alias("entity_id"), F.array("c_mktsegment").alias("tags"), F.lit("seen").alias("note"))
-    works = table(spark, folder, "supplier", "s_suppkey", "s_name").select(F.lit("work").alias("entity_type"), F.col("s_suppkey").cast("string").alias("entity_id"), F.array("s_name").alias("tags"), F.lit("").alias("note"))
-    return favorites, people.unionByName(works)
+def library_annotate(spark, folder):
+    """The library after notes on some customers were entered or replaced."""
+    return _flat_library(lib.annotate(lib.join_favorites_and_notes(*_owned(spark, folder)), _annotations(spark, folder)))
 
 
-def _flat_library(df: DataFrame) -> DataFrame:
-    return df.select("entity_type", "entity_id", "favorite", "place", F.array_join("tags", ",").alias("tags"), "note")
+def library_entity_notes(spark, folder):
+    """Each customer with what the library says on them."""
+    c = table(spark, folder, "customer", "c_custkey").select(F.col("c_custkey").cast("string").alias("id"))
+    noted = lib.with_notes(c, lib.join_favorites_and_notes(*_owned(spark, folder)), "person")
+    return noted.select("id", F.array_join("tags_noted", ",").alias("tags"), "note")
 
 
-def library_export(spark, folder):
-    """One row for each entity that is a favourite or has a note."""
-    return _flat_library(lib.join_favorites_and_notes(*_owned(spark, folder)))
+def library_stored_rows(spark, folder):
+    """Stored documents of many libraries read leniently: every seventh is corrupt, every fifth of another version."""
+    o = table(spark, folder, "orders", "o_custkey", "o_orderkey")
+    text = F.concat(F.lit('{"version": '), F.when(F.col("o_custkey") % 5 == 0, "2").otherwise("1"), F.lit(', "favorites": {"people": ["'), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), '", "'), F.lit('"], "works": [3, "w", "w"]}, "annotations": {"work:w": {"tags": ["t"]}}'), F.when(F.col("o_custkey") % 7 == 0, "").otherwise("}"))
+    documents = o.groupBy("o_custkey").agg(text.alias("text"))
+    return lib.stored_rows(documents, "o_custkey", "text").select("owner", "entity_type", "entity_id", "favorite", "place", F.array_join("tags", ",").alias("tags"), "note", "noted")
 
 
 def _imported(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
-    return o.select(F.lit("person").alias("entity_type"), F.col("o_custkey").cast("string").alias("entity_id"), (F.col("o_orderstatus") == "F").alias("favorite"), F.col("o_orderkey").cast("int").alias("place"), F.array("o_orderstatus").alias("tags"), F.lit("imported").alias("note"))
+    return o.select(F.lit("person").alias("entity_type"), F.col("o_custkey").cast("string").alias("entity_id"), (F.col("o_orderstatus") == "F").alias("favorite"), F.col("o_orderkey").cast("int").alias("place"), F.array("o_orderstatus").alias("tags"), F.lit("imported").alias("note"), F.col("o_orderkey").cast("int").alias("noted"))
 
 
 def library_merge(spark, folder):
@@ -159,29 +148,6 @@ def library_toggle(spark, folder):
     return lib.toggle(favorites, toggled)
 
 
-def library_favorites(spark, folder):
-    """The catalog's rows among the favourites."""
-    favorites, _ = _owned(spark, folder)
-    c = table(spark, folder, "customer", "c_custkey", "c_name").withColumn("entity_id", F.col("c_custkey").cast("string"))
-    return c.join(favorites, "entity_id", "left_semi").select("c_custkey", "c_name")
-
-
-def library_parse_values(spark, folder):
-    """The kind of each stated JSON value, read without error where it isn't JSON."""
-    o = table(spark, folder, "observations", "id", "observed_value").distinct()
-    v = F.try_parse_json("observed_value")
-    kind = F.when(F.col("observed_value").isNull(), "missing").when(v.isNull(), "corrupt").when(F.is_variant_null(v), "null")
-    name = F.schema_of_variant(v)
-    return o.select("id", kind.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").otherwise("number").alias("kind"))
-
-
-def home_union(spark, folder):
-    """People, then works whose text holds the query, each kind in order."""
-    c = table(spark, folder, "customer", "c_custkey", "c_mktsegment").where("lower(c_mktsegment) like '%mach%'").select(F.lit("person").alias("kind"), F.col("c_custkey").alias("key"))
-    p = table(spark, folder, "part", "p_partkey", "p_name").where("p_name like '%ring%'").select(F.lit("work").alias("kind"), F.col("p_partkey").alias("key"))
-    return c.unionByName(p)
-
-
 def upsert_merge(spark, folder):
     """Deliveries merged into suppliers: known ones take the balance only."""
     target = table(spark, folder, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
@@ -202,11 +168,6 @@ def cascade_delete(spark, folder):
     return load.cascade_delete(table(spark, folder, "credits", "work_id", "person_id", "credit_type").distinct(), "work_id", works.where("status = 'hidden'"))
 
 
-def unnest_children(spark, folder):
-    """The words of each name with their place from 1."""
-    return table(spark, folder, "part", "p_partkey", "p_name").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("_at", "word")).select("p_partkey", (F.col("_at") + 1).alias("billing_order"), "word")
-
-
 def unnest_aliases(spark, folder):
     """Aliases with the language that their letters tell."""
     a = table(spark, folder, "person_aliases", "id", "name").distinct().select("id", F.array("name").alias("aliases"))
@@ -218,14 +179,59 @@ def sequence_ids(spark, folder):
     return table(spark, folder, "supplier", "s_suppkey").select("s_suppkey", load.sequence_id("a001", F.col("s_suppkey") + 1).alias("id"))
 
 
+def cast_rows(spark, folder):
+    """The casts of the view of works as rows, by name."""
+    t = ParquetTables(spark, folder)
+    works, people = assemble_works(t), t.rows("people", "id", F.col("primary_name").alias("name"), where="status = 'published'")
+    return load.cast_rows(works, people)
+
+
+def event_rows(spark, folder):
+    """Timelines of snapshots as rows of career events."""
+    label = F.element_at(F.array(*[F.lit(x) for x in ("出道", "引退", "复出", "职业记录")]), (F.col("snapshot_id") % 4 + 1).cast("int"))
+    entry = F.struct(F.year("snapshot_date").alias("year"), label.alias("label"), F.col("snapshot_id").cast("string").alias("detail"))
+    nested = table(spark, folder, "people_snapshots", "snapshot_id", "person_id", "snapshot_date").distinct().groupBy(F.col("person_id").alias("id")).agg(F.collect_list(entry).alias("timeline"))
+    return load.event_rows(nested).withColumn("event_date", F.col("event_date").cast("string"))
+
+
+def upsert_works(spark, folder):
+    """Works in review delivered again with other titles, and new ones: known works take title and synopsis only."""
+    rows = table(spark, folder, "works", "id", "slug", "title_original", "synopsis", "status").distinct()
+    again = rows.where("status = 'review'").select("id", "slug", F.upper("title_original").alias("title_original"), F.lit("again").alias("synopsis"), F.lit("published").alias("status"))
+    new = rows.where("status = 'hidden'").select(F.concat(F.lit("new-"), "id").alias("id"), "slug", "title_original", "synopsis", F.lit("draft").alias("status"))
+    return load.upsert(rows, again.unionByName(new), "id", ["title_original", "synopsis"])
+
+
+def upsert_organizations(spark, folder):
+    """Organizations by slug, here nations, that a delivery of suppliers' nations renames or adds to."""
+    target = table(spark, folder, "nation", "n_nationkey", "n_name").where("n_nationkey < 15").select(F.col("n_name").alias("slug"), F.col("n_nationkey").alias("id"), F.lit("maker").alias("type"), F.lit("old").alias("name"))
+    incoming = table(spark, folder, "nation", "n_nationkey", "n_name").where("n_nationkey > 9").select(F.col("n_name").alias("slug"), (F.col("n_nationkey") + 100).alias("id"), F.lit("label").alias("type"), F.lower("n_name").alias("name"))
+    return load.upsert(target, incoming, "slug", ["type", "name"])
+
+
+def releases_by_code(spark, folder):
+    """Releases replaced by code: those of a delivery of longer runtimes stand for all of their code."""
+    rows = table(spark, folder, "releases", "id", "code", "runtime_minutes").distinct().where("code is not null")
+    new = rows.where("runtime_minutes > 150").select(F.concat(F.lit("r-"), "id").alias("id"), "code", (F.col("runtime_minutes") + 1).alias("runtime_minutes"))
+    return load.replace_children(rows, new, "code")
+
+
+def resolve_slugs(spark, folder):
+    """Delivered works, known by slug only, with the ids of the persisted ones."""
+    rows = table(spark, folder, "works", "id", "slug", "status").distinct()
+    delivered = rows.where("status <> 'draft'").select(F.col("slug"), F.concat(F.lit("delivered "), "slug").alias("note")).distinct()
+    return load.resolve_slugs(delivered, rows.where("status = 'published'").select("id", "slug"))
+
+
 def validate_fk(spark, folder):
-    """Credits whose work doesn't exist."""
-    return orphans(table(spark, folder, "credits", "work_id", "person_id").distinct(), "work_id", table(spark, folder, "works", "id"))
+    """Tags whose parent doesn't exist, ids being compared as written."""
+    tags = table(spark, folder, "tags", "id", "parent_id").distinct()
+    return orphans(tags, "parent_id", tags)
 
 
 def validate_unique(spark, folder):
-    """Codes that several releases bear."""
-    return duplicate_keys(table(spark, folder, "releases", "id", "code").distinct(), "code")
+    """Slugs that several people bear."""
+    return duplicate_keys(table(spark, folder, "people", "id", "slug").distinct(), "slug")
 
 
 def validate_enum(spark, folder):
@@ -233,20 +239,6 @@ def validate_enum(spark, folder):
     return outside_domain(table(spark, folder, "releases", "id", "medium").distinct(), "medium", ["digital", "physical"])
 
 
-def latest_line_per_order(spark, folder):
-    """The latest line of each order, undated ones last."""
-    lines = table(spark, folder, "lineitem").withColumn("shipped", F.when(F.col("l_linenumber") != 3, F.col("l_shipdate")))
-    w = Window.partitionBy("l_orderkey").orderBy(F.col("shipped").desc_nulls_last(), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    top = lines.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return top.select("l_orderkey", F.coalesce(F.date_format("shipped", "yyyy-MM-dd"), F.lit("1900-01-01")).alias("shipped"), "l_partkey")
-
-
-def resolved_values(spark, folder):
-    """Of each linked entity and field the values stated, and whether they conflict."""
-    o = table(spark, folder, "observations", "entity_id", "field_path", "observed_value").distinct().where("entity_id is not null and observed_value is not null")
-    return o.groupBy("entity_id", "field_path").agg(F.count_distinct("observed_value").alias("stated")).select("entity_id", "field_path", "stated", (F.col("stated") > 1).alias("conflict"))
-
-
 def relation_edges(spark, folder):
     """The edges of the graph of persons and works."""
     return table(spark, folder, "credits", "person_id", "work_id").where("person_id is not null and work_id is not null").distinct()
@@ -264,19 +256,19 @@ def _hit(query: str) -> str:
 
 
 _LIB = """WITH f AS (SELECT 'person' AS entity_type, CAST(c_custkey AS VARCHAR) AS entity_id, CAST(c_custkey AS INT) AS place FROM customer WHERE c_acctbal > 5000),
-n AS (SELECT 'person' AS entity_type, CAST(c_custkey AS VARCHAR) AS entity_id, c_mktsegment AS tags, 'seen' AS note FROM customer WHERE c_mktsegment = 'MACHINERY'
-  UNION ALL SELECT 'work', CAST(s_suppkey AS VARCHAR), s_name, '' FROM supplier),
-l AS (SELECT coalesce(f.entity_type, n.entity_type) AS entity_type, coalesce(f.entity_id, n.entity_id) AS entity_id, f.entity_id IS NOT NULL AS favorite, place, coalesce(tags, '') AS tags, coalesce(note, '') AS note
+n AS (SELECT 'person' AS entity_type, CAST(c_custkey AS VARCHAR) AS entity_id, c_mktsegment AS tags, 'seen' AS note, CAST(c_custkey AS INT) AS noted FROM customer WHERE c_mktsegment = 'MACHINERY'
+  UNION ALL SELECT 'work', CAST(s_suppkey AS VARCHAR), s_name, '', CAST(-s_suppkey AS INT) FROM supplier),
+l AS (SELECT coalesce(f.entity_type, n.entity_type) AS entity_type, coalesce(f.entity_id, n.entity_id) AS entity_id, f.entity_id IS NOT NULL AS favorite, place, coalesce(tags, '') AS tags, coalesce(note, '') AS note, noted
   FROM f FULL JOIN n ON f.entity_type = n.entity_type AND f.entity_id = n.entity_id),
-i AS (SELECT 'person' AS entity_type, CAST(o_custkey AS VARCHAR) AS entity_id, o_orderstatus = 'F' AS favorite, CAST(o_orderkey AS INT) AS place, o_orderstatus AS tags, 'imported' AS note FROM orders),
+i AS (SELECT 'person' AS entity_type, CAST(o_custkey AS VARCHAR) AS entity_id, o_orderstatus = 'F' AS favorite, CAST(o_orderkey AS INT) AS place, o_orderstatus AS tags, 'imported' AS note, CAST(o_orderkey AS INT) AS noted FROM orders),
 x AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY place DESC) = 1)
 """
 QUERIES = {
     f.__name__: f
     for f in (
-        search_tiers, search_fuzzy, search_best_hit, search_boolean, sort_relevance_top, normalize_text, normalize_codes, normalize_titles, initials, tag_split, numeric_names, tone_rotation, maker_left_default, debut_year,
-        timeline_nest, status_three_valued, library_export, library_merge, library_preview, library_toggle, library_favorites, library_parse_values, home_union, upsert_merge, replace_children,
-        cascade_delete, unnest_children, unnest_aliases, sequence_ids, validate_fk, validate_unique, validate_enum, latest_line_per_order, resolved_values, relation_edges,
+        search_tiers, search_fuzzy, search_best_hit, search_boolean, normalize_codes, normalize_titles, initials, tag_split, numeric_names, tone_rotation, 
+        library_export, library_merge, library_preview, library_toggle, upsert_merge, replace_children,
+        cascade_delete, unnest_aliases, sequence_ids, library_annotate, library_entity_notes, library_stored_rows, cast_rows, event_rows, upsert_works, upsert_organizations, releases_by_code, resolve_slugs, validate_fk, validate_unique, validate_enum, relation_edges,
     )
 }
 SQL = {
@@ -284,33 +276,30 @@ SQL = {
     "search_fuzzy": _hit("smal rimg") + "SELECT p_partkey, kind, score FROM b",
     "search_best_hit": _hit("brand#1") + "SELECT b.p_partkey, place, kind, CASE place WHEN 1 THEN p_brand WHEN 2 THEN p_type END AS label FROM b JOIN part USING (p_partkey)",
     "search_boolean": _hit("blue") + "SELECT p_partkey FROM b",
-    "sort_relevance_top": _hit("ring") + "SELECT b.p_partkey, score FROM b JOIN part USING (p_partkey) ORDER BY score DESC, p_retailprice DESC, p_partkey LIMIT 50",
-    "normalize_text": "SELECT DISTINCT id, trim(regexp_replace(lower(code), '\\s+', ' ', 'g'), ' ') AS folded FROM (SELECT DISTINCT id, code FROM releases) WHERE regexp_full_match(code, '[\\x00-\\x7F]+')",
     "initials": "SELECT p_partkey, upper(array_to_string([y[1] FOR y IN [x FOR x IN string_split(trim(p_name), ' ') IF x <> ''][1:2]], '')) AS initials FROM part",
     "tag_split": "SELECT p_partkey, p_name || '|' || p_brand || '|' || p_type AS tags FROM part",
     "numeric_names": "SELECT c_custkey, array_to_string([CASE WHEN regexp_matches(x, '^\\d') THEN repeat('0', greatest(20 - length(x), 0)::INT) || x ELSE x END FOR x IN regexp_extract_all(lower(c_name), '\\d+|\\D+')], '') AS name_key FROM customer",
     "tone_rotation": "SELECT p_partkey, ['coral', 'sage', 'ink', 'gold'][(row_number() OVER (ORDER BY p_name, p_partkey) - 1) % 4 + 1] AS tone FROM part",
-    "maker_left_default": "SELECT c_custkey, coalesce(n_name, 'unknown') AS maker FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) n ON c_nationkey = n_nationkey",
-    "debut_year": "SELECT user_id, coalesce(min(year(ts)) FILTER (event_type = 'signup'), min(year(ts))) AS debut_year FROM events GROUP BY 1",
-    "timeline_nest": "SELECT user_id, string_agg(CASE event_type WHEN 'signup' THEN 'debut' WHEN 'purchase' THEN 'comeback' ELSE 'other' END, ',' ORDER BY ts, event_id) AS timeline FROM events GROUP BY 1",
-    "status_three_valued": "SELECT DISTINCT id, CASE WHEN active THEN 'active' WHEN NOT active THEN 'retired' ELSE 'unconfirmed' END AS state FROM (SELECT DISTINCT id, active FROM people)",
-    "library_export": _LIB + "SELECT * FROM l",
-    "library_merge": _LIB + "SELECT * FROM l WHERE (entity_type, entity_id) NOT IN (SELECT (entity_type, entity_id) FROM x) UNION ALL SELECT entity_type, entity_id, favorite, CASE WHEN favorite THEN CAST(place + (SELECT coalesce(max(place), -1) FROM l) + 1 AS INT) END, tags, note FROM x",
+    "library_export": _LIB + "SELECT entity_type, entity_id, favorite, tags, note, CAST(row_number() OVER (ORDER BY noted IS NULL, noted, entity_type, place, entity_id) - 1 AS INT) AS at FROM l",
+    "library_merge": _LIB + "SELECT * FROM l WHERE (entity_type, entity_id) NOT IN (SELECT (entity_type, entity_id) FROM x) UNION ALL SELECT entity_type, entity_id, x.favorite, CASE WHEN x.favorite THEN CAST(x.place + (SELECT coalesce(max(place), -1) FROM l) + 1 AS INT) END, x.tags, x.note, coalesce(l.noted, CAST(x.noted + (SELECT coalesce(max(noted), -1) FROM l) + 1 AS INT)) FROM x LEFT JOIN l USING (entity_type, entity_id)",
     "library_preview": _LIB + "SELECT count(*) FILTER (c_custkey IS NOT NULL) AS known, count(*) FILTER (c_custkey IS NULL) AS missing FROM i LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON CAST(c_custkey AS VARCHAR) = i.entity_id",
     "library_toggle": _LIB + ", u AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS entity_id, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') SELECT * FROM f WHERE entity_id NOT IN (SELECT entity_id FROM u) UNION ALL SELECT 'person', entity_id, CAST((SELECT coalesce(max(place), -1) FROM f) + 1 + o_custkey AS INT) FROM u WHERE entity_id NOT IN (SELECT entity_id FROM f)",
-    "library_favorites": "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000",
-    "library_parse_values": "SELECT id, CASE WHEN observed_value IS NULL THEN 'missing' WHEN NOT json_valid(observed_value) THEN 'corrupt' ELSE CASE json_type(observed_value) WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END END AS kind FROM (SELECT DISTINCT id, observed_value FROM observations)",
-    "home_union": "SELECT 'person' AS kind, c_custkey AS key FROM customer WHERE lower(c_mktsegment) LIKE '%mach%' UNION ALL SELECT 'work', p_partkey FROM part WHERE p_name LIKE '%ring%'",
     "upsert_merge": "WITH i AS (SELECT * FROM customer WHERE c_nationkey < 5) SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, CASE WHEN s_suppkey IS NULL THEN c_name ELSE s_name END AS s_name, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS s_nationkey, CASE WHEN c_custkey IS NULL THEN s_acctbal ELSE c_acctbal END AS s_acctbal FROM supplier FULL JOIN i ON s_suppkey = c_custkey",
     "replace_children": "SELECT l_orderkey, count(*) AS lines, sum(l_quantity) AS quantity FROM (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT o_orderkey, 1.0 FROM orders WHERE o_orderstatus = 'O') GROUP BY 1",
     "cascade_delete": "SELECT DISTINCT work_id, person_id, credit_type FROM credits WHERE work_id NOT IN (SELECT id FROM works WHERE status = 'hidden')",
-    "unnest_children": "SELECT p_partkey, CAST(unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS INT) AS billing_order, unnest(string_split(p_name, ' ')) AS word FROM part",
     "unnest_aliases": "SELECT id, name, CASE WHEN regexp_full_match(name, '[\\x00-\\x7F]+') THEN 'en' ELSE 'ja' END AS language FROM (SELECT DISTINCT id, name FROM person_aliases)",
     "sequence_ids": "SELECT s_suppkey, '00000000-0000-4000-a001-' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 12, '0') AS id FROM supplier",
-    "validate_fk": "SELECT DISTINCT work_id, person_id FROM credits WHERE work_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM works WHERE works.id = work_id)",
-    "validate_unique": "SELECT code, count(*) AS rows FROM (SELECT DISTINCT id, code FROM releases) WHERE code IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "library_annotate": _LIB + ", a AS (SELECT 'person' AS entity_type, CAST(o_custkey AS VARCHAR) AS entity_id, o_orderpriority AS tags, CAST(o_orderkey AS INT) AS noted FROM orders WHERE o_custkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT entity_type, entity_id, coalesce(favorite, false) AS favorite, place, coalesce(a.tags, l.tags) AS tags, CASE WHEN a.noted IS NOT NULL THEN 'new' ELSE note END AS note, coalesce(l.noted, CAST(a.noted + (SELECT coalesce(max(noted), -1) FROM l) + 1 AS INT)) AS noted FROM l FULL JOIN a USING (entity_type, entity_id)",
+    "library_entity_notes": _LIB + "SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(tags, '') AS tags, coalesce(note, '') AS note FROM customer LEFT JOIN l ON entity_type = 'person' AND entity_id = CAST(c_custkey AS VARCHAR)",
+    "library_stored_rows": "WITH c AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_custkey % 5 <> 0 AND o_custkey % 7 <> 0) SELECT CAST(o_custkey AS VARCHAR) AS owner, 'person' AS entity_type, CAST(o_orderkey AS VARCHAR) AS entity_id, true AS favorite, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS place, '' AS tags, '' AS note, CAST(NULL AS INT) AS noted FROM c UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 'work', 'w', true, 0, 't', '', 0 FROM c",
+    "cast_rows": "WITH pw AS (SELECT DISTINCT id FROM works WHERE status = 'published' AND id IN (SELECT work_id FROM releases)), pp AS (SELECT DISTINCT id, primary_name FROM people WHERE status = 'published'), cr AS (SELECT DISTINCT * FROM credits), ca AS (SELECT work_id, primary_name, CAST(row_number() OVER (PARTITION BY work_id ORDER BY coalesce(billing_order, 999), credit_type NULLS FIRST, pp.id) AS INT) AS billing_order FROM cr JOIN pp ON pp.id = cr.person_id WHERE work_id IN (SELECT id FROM pw)) SELECT work_id, person_id, billing_order FROM ca JOIN (SELECT primary_name, min(id) AS person_id FROM pp GROUP BY 1) USING (primary_name)",
+    "event_rows": "SELECT person_id, ['debut', 'retirement', 'comeback', 'other'][snapshot_id % 4 + 1] AS type, strftime(make_date(year(snapshot_date)::INT, 1, 1), '%Y-%m-%d') AS event_date, 'year' AS date_precision, CAST(snapshot_id AS VARCHAR) AS note FROM (SELECT DISTINCT snapshot_id, person_id, snapshot_date FROM people_snapshots)",
+    "upsert_works": "WITH r AS (SELECT DISTINCT id, slug, title_original, synopsis, status FROM works) SELECT id, slug, CASE status WHEN 'review' THEN upper(title_original) ELSE title_original END AS title_original, CASE status WHEN 'review' THEN 'again' ELSE synopsis END AS synopsis, status FROM r UNION ALL SELECT 'new-' || id, slug, title_original, synopsis, 'draft' FROM r WHERE status = 'hidden'",
+    "upsert_organizations": "SELECT n_name AS slug, CASE WHEN n_nationkey < 15 THEN n_nationkey ELSE n_nationkey + 100 END AS id, CASE WHEN n_nationkey > 9 THEN 'label' ELSE 'maker' END AS type, CASE WHEN n_nationkey > 9 THEN lower(n_name) ELSE 'old' END AS name FROM nation",
+    "releases_by_code": "WITH r AS (SELECT DISTINCT id, code, runtime_minutes FROM releases WHERE code IS NOT NULL) SELECT * FROM r WHERE code NOT IN (SELECT code FROM r WHERE runtime_minutes > 150) UNION ALL SELECT 'r-' || id, code, runtime_minutes + 1 FROM r WHERE runtime_minutes > 150",
+    "resolve_slugs": "SELECT slug, note, id FROM (SELECT DISTINCT slug, 'delivered ' || slug AS note FROM works WHERE status <> 'draft') JOIN (SELECT slug, min(id) AS id FROM works WHERE status = 'published' AND slug IS NOT NULL GROUP BY 1) USING (slug)",
+    "validate_fk": "SELECT DISTINCT id, parent_id FROM tags t WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tags u WHERE u.id = t.parent_id)",
+    "validate_unique": "SELECT slug, count(*) AS rows FROM (SELECT DISTINCT id, slug FROM people) WHERE slug IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "validate_enum": "SELECT DISTINCT id, medium FROM releases WHERE medium NOT IN ('digital', 'physical')",
-    "latest_line_per_order": "SELECT l_orderkey, coalesce(strftime(shipped, '%Y-%m-%d'), '1900-01-01') AS shipped, l_partkey FROM (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_shipdate END AS shipped FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY shipped DESC NULLS LAST, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) = 1",
-    "resolved_values": "SELECT entity_id, field_path, count(DISTINCT observed_value) AS stated, count(DISTINCT observed_value) > 1 AS conflict FROM observations WHERE entity_id IS NOT NULL AND observed_value IS NOT NULL GROUP BY 1, 2",
     "relation_edges": "SELECT DISTINCT person_id, work_id FROM credits WHERE person_id IS NOT NULL AND work_id IS NOT NULL",
 }

@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: int = 8, app: str = "corvane", memory: str = "20g") -> SparkSession:
-    """A local session with the settings that the engine relies on: UTC, AQE, Arrow."""
-    return (
+def build_session(cores: int = 8, app: str = "corvane", memory: str = "20g", checkpoints: str | None = None) -> SparkSession:
+    """A local session with the settings that the engine relies on: UTC, AQE, Arrow. Checkpoints that nothing refers to any more are deleted."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -18,18 +18,21 @@ def build_session(cores: int = 8, app: str = "corvane", memory: str = "20g") ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    return (builder.config("spark.checkpoint.dir", checkpoints) if checkpoints else builder).getOrCreate()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, so that a lost executor costs no recomputation from the start.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    The folder is the session's `spark.checkpoint.dir`, which all executors share. A session that runs on one machine only (`local[...]`) may
+    leave it unset and gets a temporary folder; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.sources.schema import schema
@@ -33,15 +33,29 @@ class Tables:
         raise NotImplementedError
 
     def __getitem__(self, name: str) -> DataFrame:
+        """All columns of a table, repeats included."""
         shape = schema(name)
         df = self._load(name)
         if df is None:
             return self.spark.createDataFrame([], shape)
         return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape.fields])
 
+    def rows(self, name: str, *columns: str | Column, where: Column | str | None = None) -> DataFrame:
+        """The named columns of the rows that satisfy `where`, exact repeats of rows once.
+
+        Only the columns that the query uses in the end and those of `where` are read, and filters reach the scan. A table with ids has one row for each;
+        where rows of one id differ against that rule, any of them stands for it. Rows of a table without id repeat if they do so in all
+        columns, which a hash of the row tells, so that no other column is shuffled.
+        """
+        df = self[name]
+        kept = df if where is None else df.where(where)
+        if "id" in df.columns:
+            return kept.dropDuplicates(["id"]).select(*columns)
+        return kept.select(*columns, F.xxhash64(*df.columns).alias("_row")).distinct().drop("_row")
+
 
 class ParquetTables(Tables):
-    """One Parquet file or folder for each table. Exact repeats of whole rows count once."""
+    """One Parquet file or folder for each table."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         super().__init__(spark)
@@ -53,20 +67,29 @@ class ParquetTables(Tables):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet").distinct()
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 class JdbcTables(Tables):
-    """Tables of a relational database, read by `partitions` tasks over ranges of `created_at` where asked for."""
+    """Tables of a relational database.
 
-    def __init__(self, spark: SparkSession, url: str | None, options: Mapping[str, str] | None = None) -> None:
+    A table named in `ranges` as (column, lower, upper, tasks) is read by that many tasks over ranges of a number or timestamp; any other by one.
+    """
+
+    def __init__(self, spark: SparkSession, url: str | None, options: Mapping[str, str] | None = None, ranges: Mapping[str, tuple[str, str, str, int]] | None = None) -> None:
         super().__init__(spark)
         if not url:
             raise ValueError("a relational source needs a URL")
-        self.url, self.options = url, dict(options or {})
+        self.url, self.options, self.ranges = url, dict(options or {}), dict(ranges or {})
+
+    def read_options(self, name: str) -> dict[str, str]:
+        """The reader's options of a table."""
+        split = self.ranges.get(name)
+        ranged = {} if split is None else {"partitionColumn": split[0], "lowerBound": str(split[1]), "upperBound": str(split[2]), "numPartitions": str(split[3])}
+        return {"url": self.url, "dbtable": name, **self.options, **ranged}
 
     def _load(self, name: str) -> DataFrame | None:
-        return self.spark.read.format("jdbc").option("url", self.url).option("dbtable", name).options(**self.options).load()
+        return self.spark.read.format("jdbc").options(**self.read_options(name)).load()
 
 
 class MemoryTables(Tables):
@@ -74,13 +97,13 @@ class MemoryTables(Tables):
 
     def __init__(self, spark: SparkSession, rows: Mapping[str, Iterable[Mapping[str, object]]]) -> None:
         super().__init__(spark)
-        self.rows = rows
+        self.given = rows
 
     def _load(self, name: str) -> DataFrame | None:
-        if name not in self.rows:
+        if name not in self.given:
             return None
         shape = schema(name)
-        return self.spark.createDataFrame([tuple(r.get(f) for f in shape.names) for r in self.rows[name]], shape)
+        return self.spark.createDataFrame([tuple(r.get(f) for f in shape.names) for r in self.given[name]], shape)
 
 
 def open_tables(spark: SparkSession, kind: str | None = None, *, folder: str = "", url: str | None = None, rows: Mapping[str, Iterable[Mapping[str, object]]] | None = None) -> Tables:

@@ -41,8 +41,11 @@ ENUMS = {
     "publication_status": ["draft", "review", "published", "hidden"],
     "confidence_level": ["unverified", "low", "medium", "high", "confirmed"],
     "career_event_type": ["debut", "retirement", "comeback", "hiatus", "other"],
+    "organization_type": ["agency", "maker", "label", "studio", "distributor"],
     "source_role": ["authoritative", "reference", "community", "manual"],
     "resolution_status": ["pending", "accepted", "rejected"],
+    "media_kind": ["portrait", "cover", "still"],
+    "rights_status": ["unknown", "link_only", "licensed", "removed"],
 }
 
 

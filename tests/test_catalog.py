@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions.text import numeric_key
 from corvane.operators import catalog as c
 from corvane.operators import directory as d
 from corvane.operators.ranking import with_position
-from corvane.sources.catalog_source import MemoryTables, ParquetTables, open_tables, resolve_source
+from corvane.sources.catalog_source import JdbcTables, MemoryTables, ParquetTables, open_tables, resolve_source
 from corvane.sources.demo import DEMO_ROWS
 from tests.conftest import rows
 
@@ -73,13 +74,67 @@ def test_directory(catalog, spark):
     assert [(r["kind"], r["id"]) for r in home] == [("person", "p1")]  # romanized name, not aliases
 
 
+def test_records(catalog):
+    w = catalog.work_record("work-1").first()
+    assert w["id"] == "w1" and w["tone"] == "afternoon" and [p["id"] for p in w["people"]] == ["p2", "p1"]
+    p = catalog.person_record("person-1").first()
+    assert p["id"] == "p1" and [x["id"] for x in p["works"]] == ["w1"] and catalog.person_record("person-3").first()["works"] is None
+    assert catalog.work_record("nothing").count() == 0
+    assert [c.page_title(catalog.find_work(s), "title", "none").first()[0] for s in ("work-1", "nothing")] == ["水之阶梯", "none"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_read_what_they_need(spark, tmp_path):
+    folder = str(tmp_path)
+    demo = open_tables(spark, "demo")
+    for name in ("people", "person_aliases", "career_events", "organizations", "works", "releases", "credits"):
+        demo[name].write.parquet(f"{folder}/{name}.parquet")
+    tables = ParquetTables(spark, folder)
+    years = _plan(d.facet(c.assemble_works(tables), "release_year", descending=True))
+    assert "RDD" not in years and "synopsis" not in years and "biography" not in years
+    found = _plan(c.Catalog(tables).find_work("work-1"))
+    assert "RDD" not in found and "EqualTo(slug,work-1)" in found
+    assert [r["id"] for r in c.Catalog(tables).find_work("work-1").collect()] == ["w1"]
+
+
+def test_exact_repeats_count_once(spark, tmp_path):
+    folder = str(tmp_path)
+    demo = open_tables(spark, "demo")
+    for name in ("people", "works", "releases", "credits"):
+        demo[name].unionByName(demo[name]).write.parquet(f"{folder}/{name}.parquet")
+    w = {r["id"]: r for r in c.assemble_works(ParquetTables(spark, folder)).collect()}
+    assert w["w1"]["cast_ids"] == ["p2", "p1", "p1"] and len(w) == 2
+
+
+def test_one_person_in_a_third_of_the_credits(spark):
+    many = [{"work_id": f"w{i % 50}", "person_id": "hot" if i % 3 == 0 else f"p{i}", "credit_type": "performer", "billing_order": i} for i in range(900)]
+    people = spark.createDataFrame([("hot", "H"), *((f"p{i}", f"P{i}") for i in range(900))], "id string, primary_name string")
+    credits = MemoryTables(spark, {"credits": many}).rows("credits", "work_id", "person_id", "credit_type", "billing_order")
+    got = {r["id"]: r["cast_ids"] for r in c.casts(credits, people).collect()}
+    assert sum(map(len, got.values())) == 900 and sum(x.count("hot") for x in got.values()) == 300
+
+
+def test_texts_of_details(spark):
+    df = spark.createDataFrame([("活跃", [c.MEDIA["physical"]]), ("资料待确认", [c.NO_MEDIUM])], "status string, tags array<string>")
+    assert rows(df.select(c.detail_confidence(F.col("status")), c.detail_medium(F.col("tags")), c.status_value(F.col("status")))) == [("已确认", "实体", True), ("待审核", "数字", None)]
+
+
+def test_relational_reads_can_be_split(spark):
+    t = JdbcTables(spark, "jdbc:x", ranges={"works": ("created_at", "2020-01-01", "2024-01-01", 16)})
+    assert t.read_options("works")["numPartitions"] == "16" and "numPartitions" not in t.read_options("people")
+
+
 def test_filter_state_round_trip():
     f = d.WorksFilter(q="x", tag="t")
     assert f.to_params() == {"q": "x", "tag": "t"} and d.WorksFilter.from_params(f.to_params() | {"other": "1"}) == f
 
 
 def test_numeric_order_of_codes(spark):
-    df = spark.createDataFrame([(i, x, "2020-01-01", x) for i, x in enumerate(["DEMO-2", "demo-10", "demo-1"])], "position long, code string, release_date string, title string")
+    df = spark.createDataFrame([(i, x, "2020-01-01", x) for i, x in enumerate(["DEMO-2", "demo-10", "demo-1"])], "position long, code string, release_date string, title string").selectExpr("*", "title original_title", "string(position) id")
+    assert [r[0] for r in spark.createDataFrame([("É2",), ("e10",), ("e1",), ("がé",), ("か",)], "v string").select(numeric_key(F.col("v"))).collect()] == ["e" + "2".zfill(20), "e" + "10".zfill(20), "e" + "1".zfill(20), "がe", "か"]
     assert [r["code"] for r in df.orderBy(*d.related_order("code")).collect()] == ["demo-1", "DEMO-2", "demo-10"]
 
 

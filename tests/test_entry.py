@@ -1,5 +1,5 @@
 import importlib
-import sys
+import importlib.util
 
 import pytest
 
@@ -12,9 +12,8 @@ def test_names_agree():
 
 
 def test_works_without_the_subpackage(monkeypatch):
-    for name in [m for m in sys.modules if m.startswith("corvane.llm")]:
-        monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "corvane.llm", None)
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith("corvane.llm") else find(name, *a))
     import __spark_entry__ as entry
 
     reloaded = importlib.reload(entry)

@@ -48,6 +48,29 @@ def test_round_trip(spark, tmp_path):
     assert lib.read_exports(spark, str(tmp_path)).count() == 1
 
 
+def test_exports_list_notes_first(spark, tmp_path):
+    stored = {"version": 1, "favorites": {"people": ["b", "a"], "works": ["w"]}, "annotations": {"work:z": {"tags": ["t"], "note": "1"}, "person:a": {"tags": [], "note": "2"}}}
+    library = lib.library_rows(spark, stored)
+    path = str(tmp_path / "library.json")
+    for _ in range(2):  # the second replaces the first
+        lib.write_export(spark, library, "now", path)
+    listed = [(i["entityType"], i["entityId"]) for i in lib.parse_export((tmp_path / "library.json").read_text())["items"]]
+    assert listed == [("work", "z"), ("person", "a"), ("person", "b"), ("work", "w")]
+    lib.write_stored(spark, library, path)
+    assert lib.read_stored((tmp_path / "library.json").read_text()) == stored
+
+
+def test_notes(spark):
+    library = lib.library_rows(spark, {"favorites": {"people": ["a"], "works": []}, "annotations": {"person:a": {"tags": ["old"], "note": "o"}}})
+    notes = spark.createDataFrame([("person", "a", ["n"], "1", 0), ("person", "c", ["m"], "2", 1), ("person", "c", ["k"], "3", 2)], "entity_type string, entity_id string, tags array<string>, note string, noted int")
+    after = lib.annotate(library, notes)
+    assert rows(after.select("entity_id", "favorite", "tags", "note", "noted")) == [("a", True, ["n"], "1", 0), ("c", False, ["k"], "3", 3)]
+    people = spark.createDataFrame([("a",), ("x",)], "id string")
+    assert rows(lib.with_notes(people, after, "person")) == [("a", ["n"], "1"), ("x", [], "")]
+    documents = spark.createDataFrame([("o", '{"version": 1, "favorites": {"people": ["a"], "works": []}}'), ("p", "{oops"), ("q", None)], "owner string, text string")
+    assert rows(lib.stored_rows(documents, "owner", "text")) == [("o", "person", "a", True, 0, [], "", None)]
+
+
 def test_preview_and_toggle(spark):
     items = lib.export_rows(spark, {"items": [*EXPORT["items"], {"entityType": "work", "entityId": "q", "favorite": False, "tags": [], "note": ""}]})
     known = spark.createDataFrame([("person", "a"), ("person", "a")], "entity_type string, entity_id string")

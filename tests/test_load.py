@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import load
@@ -40,6 +41,57 @@ def test_write_all_exchanges_folders(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["catalog"]
 
 
+class _Failing:
+    """A file system of which chosen renames return false or raise."""
+
+    def __init__(self, fs, fail):
+        self.fs, self.fail, self.renames = fs, fail, 0
+
+    def rename(self, a, b):
+        self.renames += 1
+        how = self.fail.get(self.renames)
+        if how == "raise":
+            raise OSError("rename")
+        return False if how == "false" else self.fs.rename(a, b)
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+
+@pytest.mark.parametrize("how", ["false", "raise"])
+@pytest.mark.parametrize("step", [1, 2])
+def test_write_all_keeps_the_old_tables(spark, tmp_path, how, step):
+    folder = str(tmp_path / "catalog")
+    load.write_all(spark, {"t": spark.range(3)}, folder)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    with pytest.raises(OSError):
+        load.write_all(spark, {"t": spark.range(5)}, folder, _Failing(fs, {step: how}))
+    assert spark.read.parquet(f"{folder}/t.parquet").count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["catalog"]
+
+
+def test_write_all_deletes_nothing_if_nothing_can_be_moved(spark, tmp_path):
+    folder = str(tmp_path / "catalog")
+    load.write_all(spark, {"t": spark.range(3)}, folder)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    with pytest.raises(OSError, match="the old tables are in"):
+        load.write_all(spark, {"t": spark.range(5)}, folder, _Failing(fs, {2: "false", 3: "raise"}))
+    assert sorted(spark.read.parquet(f"{p}/t.parquet").count() for p in tmp_path.iterdir()) == [3, 5]
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "catalog")
+    load.write_all(spark, {"t": spark.range(3)}, folder)
+    with pytest.raises(Exception):
+        load.write_all(spark, {"t": spark.range(5), "u": spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))}, folder)
+    assert spark.read.parquet(f"{folder}/t.parquet").count() == 3 and [p.name for p in tmp_path.iterdir()] == ["catalog"]
+
+
+def test_slugs_resolve_to_ids(spark):
+    persisted = spark.createDataFrame([("1", "a"), ("0", "a"), ("2", None)], "id string, slug string")
+    assert rows(load.resolve_slugs(spark.createDataFrame([("a", 7), ("b", 8), (None, 9)], "slug string, n int"), persisted)) == [("a", 7, "0")]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("a", "x"), ("a", None), ("b", "z"), (None, "x"), (None, "x")], "k string, v string")
     assert rows(duplicate_keys(df, "k")) == [("a", 2)]
