@@ -27,7 +27,7 @@ _SIGN = "぀-ヿ㐀-䶿一-鿿豈-﫿々〆ｦ-ﾟ"
 _TOKEN = re.compile(rf"[{_SIGN}]|(?:(?![{_SIGN}_])\w)+")
 _INKLESS = re.compile(r"[\p{Cf}\p{Mn}\p{Me}]")
 _APOSTROPHE = re.compile(r"(?<=\w)['’](?=\w)")
-_MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#\d{1,6};")
+_MARKUP = re.compile(r"<[/!?]?[A-Za-z\-][^<>]*>|&[a-z]{2,8};|&#\d{1,6};")
 
 
 def tokens(text: str) -> list[str]:
@@ -115,29 +115,69 @@ def align(windows: np.ndarray, items: np.ndarray, weights: np.ndarray, lengths:
     return out
 
 
-def verify(cases: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], at_once: int = 2_048) -> np.ndarray:
-    """Best passages (see align, places in the document) of (document codes, item codes, item weights, diagonal)."""
+def hopeful(windows: np.ndarray, items: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which pairs may hold a passage: those with a stretch of `least` or more item tokens of which AGREEMENT occur in the window at all.
+
+    What an alignment finds agrees in order too, so none is lost. windows, items: as in align().
+    """
+    pairs, length = items.shape
+    gain = np.zeros((pairs, length + 1))
+    for i in range(length):
+        gain[:, i + 1] = (windows == items[:, i : i + 1]).any(1) - AGREEMENT
+    total = np.cumsum(gain, 1)
+    best = np.full(pairs, -np.inf)
+    for least_length in np.unique(least).tolist():
+        mine = (least == least_length) & (lengths >= least_length)
+        if mine.any() and length >= least_length:
+            t = total[mine]
+            ends = np.where(np.arange(length + 1)[None, :] <= lengths[mine][:, None], t, -np.inf)[:, least_length:]
+            best[mine] = (ends - np.minimum.accumulate(t, 1)[:, : length + 1 - least_length]).max(1)
+    return best >= -1e-9
+
+
+def verify(cases: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]], at_once: int = 2_048) -> np.ndarray:
+    """Best passages (see align, places in the document) of (document codes, item codes, item weights, diagonal, whether in signs); zeros where none is possible."""
     order = np.argsort([len(c[1]) for c in cases], kind="stable")
     out = np.zeros((5, len(cases)), np.int32)
+    waiting: list[tuple] = []
+
+    def finish() -> None:
+        if waiting:
+            part, windows, items, weights, firsts, lengths = (np.concatenate(x) if x[0].ndim == 1 else _stacked(x) for x in zip(*waiting, strict=True))
+            found = align(windows, items, weights, lengths)
+            found[3:] += firsts
+            out[:, part] = found
+            waiting.clear()
+
     for start in range(0, len(order), at_once):
         part = order[start : start + at_once]
         lengths = np.array([len(cases[k][1]) for k in part])
         most = int(lengths.max(initial=0))
         windows, items, weights = np.zeros((len(part), most + 2 * BAND + 1), np.int64), np.full((len(part), most), -1, np.int64), np.zeros((len(part), most), np.float32)
         firsts = np.array([cases[k][3] - BAND for k in part])
+        least = np.array([LEAST_SIGNS if cases[k][4] else LEAST_WORDS for k in part])
         for r, k in enumerate(part):
-            doc, item, weight, _ = cases[k]
+            doc, item, weight = cases[k][:3]
             first = int(firsts[r])
             lo, hi = max(first, 0), min(len(doc), first + windows.shape[1])
             if hi > lo:
                 windows[r, lo - first : hi - first] = doc[lo:hi]
             items[r, : len(item)], weights[r, : len(item)] = item, weight
-        found = align(windows, items, weights, lengths)
-        found[3:] += firsts
-        out[:, part] = found
+        may = hopeful(windows, items, lengths, least)
+        if may.any():
+            waiting.append((part[may], windows[may], items[may], weights[may], firsts[may], lengths[may]))
+        if sum(len(w[0]) for w in waiting) >= at_once:
+            finish()
+    finish()
     return out
 
 
+def _stacked(parts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Rows of several widths one under the other, filled up with zeros, which lie behind the end of an item."""
+    width = max(p.shape[1] for p in parts)
+    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+
+
 # --- the distributed search ---------------------------------------------------------------------------
 
 
@@ -222,7 +262,7 @@ def leaked_passages(documents: DataFrame, key: str, text: str, items: DataFrame,
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = verify(list(zip(b["codes"], b["item_codes"], b["weights"], b["diagonal"], strict=True)))
+            found = verify(list(zip(b["codes"], b["item_codes"], b["weights"], b["diagonal"], b["signs"], strict=True)))
             yield pd.DataFrame({"doc": b["doc"], "item": b["item"], "signs": b["signs"], "span": found[0], "same": found[1], "weighed": found[2], "begin": found[3], "end": found[4]})
 
     aligned = cut_lineage(cases.mapInPandas(check, "doc long, item long, signs boolean, span int, same int, weighed int, begin int, end int"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from corvane.llm import leaks as lk
@@ -68,9 +69,23 @@ def test_tokens():
 
 @pytest.mark.parametrize("drop", [3, 9])
 def test_alignment_bridges_left_out_words(drop):
-    import numpy as np
 
     codes = np.arange(1, 31)
     doc = np.r_[np.full(5, 99), np.delete(codes, drop), np.full(5, 98)].astype(np.int64)
-    out = lk.verify([(doc, codes, np.ones(30, np.float32), 5)])
+    out = lk.verify([(doc, codes, np.ones(30, np.float32), 5, False)])
     assert out[1][0] >= 26 and out[0][0] >= 27
+
+
+def test_pairs_without_hope_are_those_that_alignment_rejects():
+    rng = np.random.default_rng(5)
+    lengths, windows, items = np.array([20, 30, 12, 30, 11]), rng.integers(1, 9000, (5, 46)), np.full((5, 30), -1)
+    items[0, :20] = rng.integers(10_000, 20_000, 20)  # nothing in common
+    items[1] = windows[1, 8:38]  # all
+    items[2, :12] = np.r_[windows[2, 8:19], 0]  # eleven of twelve
+    items[3] = np.where(np.arange(30) % 2 == 0, windows[3, 8:38], 30_000)  # every other one
+    items[4, :11] = windows[4, 8:19]  # all of too few
+    assert lk.hopeful(windows, items, lengths, np.full(5, lk.LEAST_WORDS)).tolist() == [False, True, True, False, False]
+
+
+def test_a_long_tag_is_no_text():
+    assert lk.tokens("a <img title='" + "x " * 400 + "'> b 1 < 2 and 3 > 2") == ["a", "b", "1", "2", "and", "3", "2"]
