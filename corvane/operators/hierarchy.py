@@ -73,18 +73,15 @@ def _forest(held: list[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _climb(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Open rows moved on to where the fragment of their ancestor ends; the others as they are."""
-    o = rows.alias("o")
+    """Open rows moved on to where the fragment of their ancestor ends; the others as they are.
+
+    Only open rows are joined: closed ones all name a root, so a large tree would be one key.
+    """
     t = index.select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("off").alias("t_off"), F.col("low").alias("t_low"), F.col("state").alias("t_state"))
-    open_ = F.col("o.state") == "O"
-    joined = o.join(t, open_ & (F.col("o.anc") == F.col("t_id")), "left")
-    return joined.select(
-        F.col("o.id").alias("id"),
-        F.when(open_, F.col("t_anc")).otherwise(F.col("o.anc")).alias("anc"),
-        F.when(~open_, F.col("o.off")).when(F.col("t_state") == "C", F.lit(-1)).otherwise(F.col("o.off") + F.col("t_off")).cast("int").alias("off"),
-        F.when(open_, F.least(F.col("o.low"), F.col("t_low"))).otherwise(F.col("o.low")).alias("low"),
-        F.when(open_, F.col("t_state")).otherwise(F.col("o.state")).alias("state"),
-    )
+    moved = rows.where("state = 'O'").join(t, F.col("anc") == F.col("t_id"), "left").select(
+        "id", F.col("t_anc").alias("anc"), F.when(F.col("t_state") == "C", F.lit(-1)).otherwise(F.col("off") + F.col("t_off")).cast("int").alias("off"), F.least("low", "t_low").alias("low"), F.col("t_state").alias("state")
+    )
+    return rows.where("state <> 'O'").select(*moved.columns).unionByName(moved)
 
 
 def resolve_forest(links: DataFrame) -> DataFrame:

@@ -63,3 +63,9 @@ def test_paths_and_descendants(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("a", None, "1", "2", "3")], "id string, up string, _known string, anc string, root string")
     assert rows(h.resolve_forest(h.clean_links(df, "id", "up"))) == [("a", "a", 0, False)]
+
+
+def test_one_root_with_a_third_of_the_rows(spark):
+    links = [("hub", None), *((f"leaf{i:04d}", "hub") for i in range(500)), *((f"n{i:04d}", f"n{i - 1:04d}" if i else None) for i in range(1000))]
+    got = {r["id"]: (r["root"], r["depth"]) for r in h.resolve_forest(spark.createDataFrame(links, "id string, up string").repartition(7)).collect()}
+    assert all(got[f"leaf{i:04d}"] == ("hub", 1) for i in range(500)) and got["n0999"] == ("n0000", 999) and len(got) == 1501
