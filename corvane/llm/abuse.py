@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import regex as re
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.visual_forms import LOOK_ALIKES
+from corvane.session import cut_lineage
 
 #: Labelled documents that the model is fitted on at most; of more, those with the smallest hash of their id.
 LABELLED_DOCUMENTS = 8_000
@@ -31,14 +33,16 @@ LEAST_ABUSIVE, LEAST_PLAIN = 2, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _SIGN = "぀-ヿ㐀-䶿一-鿿豈-﫿々〆"
-_INKLESS = re.compile(r"[\p{Cf}\p{Mn}\p{Me}]")
+_INKLESS = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}]")
 _BETWEEN_SIGNS = re.compile(rf"(?<=[{_SIGN}])[\s.*·•_/\\~+=|^#@\-．・／＊]{{1,3}}(?=[{_SIGN}])")
-_SPACED_LETTERS = re.compile(r"(?<![\p{L}\d])[\p{L}\d@$](?:[.*·•_/\- ][\p{L}\d@$]){2,}(?![\p{L}\d])")
-_TOKEN = re.compile(rf"[{_SIGN}]|(?:(?![{_SIGN}_])[\w@$'*])+|[.!?。！？\n]")
+_SPACED_LETTERS = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[\d@$])(?:[.*·•_/\- ](?:[^\W_]|[@$])){2,}(?![^\W_])")
+_BETWEEN_LETTERS = re.compile(r"[.*·•_/\- ]")
+_TOKEN = re.compile(rf"[{_SIGN}]|(?:[^\W_{_SIGN}]|[@$'*])+|[.!?。！？\n]")
 _STOP = set(".!?。！？\n")
 # Digits and signs written for letters.
 _WRITTEN_FOR = str.maketrans("013457@$8", "oieastasb")
-_LATIN_SHAPES = {ord(x): shape for shape, others in LOOK_ALIKES.items() if shape.isascii() for x in others}
+_LATIN_SHAPES = {x: shape for shape, others in LOOK_ALIKES.items() if shape.isascii() for x in others}
+_SHAPED = re.compile("[" + "".join(_LATIN_SHAPES) + "]")
 
 
 def words(text: str) -> list[str]:
@@ -47,9 +51,10 @@ def words(text: str) -> list[str]:
     Width, case, marks and characters without ink don't matter; blanks, dots and other signs put between the letters of a
     word or between East Asian signs are dropped; digits within a word of letters are read as the letters they stand for.
     """
-    plain = _INKLESS.sub("", unicodedata.normalize("NFKC", text)).translate(_LATIN_SHAPES).lower()
+    plain = _INKLESS.sub("", unicodedata.normalize("NFKC", text))
+    plain = _SHAPED.sub(lambda m: _LATIN_SHAPES[m[0]], plain).lower()
     plain = _BETWEEN_SIGNS.sub("", plain)
-    plain = _SPACED_LETTERS.sub(lambda m: re.sub(r"[.*·•_/\- ]", "", m[0]), plain)
+    plain = _SPACED_LETTERS.sub(lambda m: _BETWEEN_LETTERS.sub("", m[0]), plain)
     out = []
     for w in _TOKEN.findall(plain):
         if len(w) > 1 and not w.isalpha():
@@ -62,23 +67,27 @@ def words(text: str) -> list[str]:
     return out
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, text, stop): per position three 64-bit codes (the word, with the next, with the next two), the text's number, and whether a sentence ends."""
+def word_codes(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the 32-bit codes of its words in order, 0 where a sentence ends."""
     import xxhash
 
-    known: dict[str, int] = {}
-    flat: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    stops: list[bool] = []
-    for i, t in enumerate(texts):
-        ws = words(t) if t else []
-        sizes[i] = len(ws)
-        for w in ws:
+    known: dict[str, int] = dict.fromkeys(_STOP, 0)
+    out = []
+    for t in texts:
+        flat = []
+        for w in words(t) if t else []:
             c = known.get(w)
             if c is None:
-                c = known[w] = 0 if w in _STOP else xxhash.xxh64_intdigest(("#" * len(w) if w.isdigit() else w).encode()) | 1
+                c = known[w] = xxhash.xxh32_intdigest(("#" * len(w) if w.isdigit() else w).encode()) | 1
             flat.append(c)
-    one = np.array(flat, np.uint64)
+        out.append(np.array(flat, np.uint32).view(np.int32))
+    return out
+
+
+def joined_features(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, text, stop): per position three 64-bit codes (the word, with the next, with the next two), the text's number, and whether a sentence ends."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    one = (np.concatenate(texts) if len(texts) else np.zeros(0, np.int32)).astype(np.int32).view(np.uint32).astype(np.uint64)
     text = np.repeat(np.arange(len(texts)), sizes)
     stop = one == 0
     n = len(one)
@@ -89,10 +98,18 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             joined = (codes[k - 1][: n - k] * _MIX) ^ one[k:]
             joined ^= joined >> np.uint64(31)
             fits = (text[: n - k] == text[k:]) & ~stop[k:] & (codes[k - 1][: n - k] != 0)
-            codes[k][: n - k] = np.where(fits, joined | np.uint64(1), 0)
+            codes[k][: n - k] = np.where(fits, joined | np.uint64(1 << 33), 0)
     return codes, text, stop
 
 
+def distinct_pairs(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The different values of text * width + at, sorted; of 32 bits where these suffice, which sort several times faster."""
+    kind = np.uint32 if (int(text.max(initial=0)) + 1) * width < 1 << 32 else np.uint64
+    keys = text.astype(kind) * kind(width) + at.astype(kind)
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 @dataclass
 class Model:
     """Sorted feature codes with their scores; location and scale of the Gumbel law that best scores of plain documents follow; the level from which a document counts as abusive."""
@@ -180,46 +197,68 @@ def log_odds(abusive: np.ndarray, plain: np.ndarray, corpus: np.ndarray, n_abusi
 
 
 class Labelled:
-    """The labelled sample: its features as indices into a vocabulary."""
+    """The labelled sample: its features as indices into a vocabulary. texts: the word codes of each document."""
 
-    def __init__(self, texts: list[str], abusive: np.ndarray) -> None:
-        codes, self.text, self.stop = features(texts)
+    def __init__(self, texts: list[np.ndarray], abusive: np.ndarray) -> None:
+        codes, self.text, self.stop = joined_features(texts)
         self.abusive = abusive
         self.documents = len(texts)
         self.lengths = np.bincount(self.text, minlength=self.documents)
         every, at = np.unique(codes.reshape(-1), return_inverse=True)
         at = at.reshape(codes.shape)
-        self._width = len(every)
-        yes = self._frequencies(at, abusive[self.text])
-        no = self._frequencies(at, ~abusive[self.text])
+        pairs = self._pairs(at, self.text, len(every))
+        of_abusive = abusive[pairs // len(every)]
+        yes = np.bincount(pairs[of_abusive] % len(every), minlength=len(every))
+        no = np.bincount(pairs[~of_abusive] % len(every), minlength=len(every))
         keep = ((yes >= LEAST_ABUSIVE) | (no >= LEAST_PLAIN)) & (every != 0)
         self.vocabulary = every[keep]
         place = np.where(keep, np.cumsum(keep) - 1, len(self.vocabulary))  # the last index stands for what isn't counted
-        self.at = place[at]
         self.codes = codes
-        self._width = len(self.vocabulary) + 1
         self.begin = np.r_[0, np.cumsum(self.lengths)]
-
-    def _frequencies(self, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        keys = (self.text[chosen].astype(np.int64) * self._width)[None, :] + at[:, chosen]
-        return np.bincount(np.unique(keys.reshape(-1)) % self._width, minlength=self._width).astype(float)
+        self.width = len(self.vocabulary) + 1
+        at = place[at]
+        # features of whole documents, once each; of abusive ones also all positions, as passages are cut out of them
+        pairs = self._pairs(at, self.text, self.width)
+        self._owner, self._feature = pairs // self.width, pairs % self.width
+        mine = abusive[self.text]
+        self._positions = np.flatnonzero(mine)
+        self._at = at[:, mine]
+
+    @staticmethod
+    def _pairs(at: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+        return distinct_pairs(np.tile(text, len(at)), at.reshape(-1), width).astype(np.int64)
+
+    def _whole(self, documents: np.ndarray) -> np.ndarray:
+        """In how many of these documents each feature occurs."""
+        return np.bincount(self._feature[documents[self._owner]], minlength=self.width)[:-1].astype(float)
+
+    def _parts(self, chosen: np.ndarray) -> np.ndarray:
+        """In how many abusive documents each feature occurs at chosen positions."""
+        mine = chosen[self._positions]
+        pairs = self._pairs(self._at[:, mine], self.text[self._positions[mine]], self.width)
+        return np.bincount(pairs % self.width, minlength=self.width)[:-1].astype(float)
 
     def fit(self, corpus: np.ndarray, n_corpus: int, train: np.ndarray) -> Model:
         """A model of the training documents: first whole abusive documents, then the passages found in them, count as abusive text."""
-        known = train[self.text]
-        chosen = self.abusive[self.text] & known
+        mine = self.abusive & train
+        plain = self._whole(~self.abusive & train)
         model = Model(self.vocabulary, np.zeros(len(self.vocabulary), np.float32))
+        yes, rest, passages = self._whole(mine), np.zeros(len(self.vocabulary)), int(mine.sum())
         for _ in range(ROUNDS):
-            if not chosen.any():
+            if not passages:
                 break
-            yes, no = self._frequencies(self.at, chosen)[:-1], self._frequencies(self.at, known & ~chosen)[:-1]
-            model = Model(self.vocabulary, log_odds(yes, no, corpus, len(np.unique(self.text[chosen])), train.sum(), n_corpus))
-            scores = model.positions(self.codes)
+            model = Model(self.vocabulary, log_odds(yes, plain + rest, corpus, passages, train.sum(), n_corpus))
+            scores = np.zeros(len(self.text), np.float32)
+            scores[self._positions] = model.positions(self.codes[:, self._positions])
             chosen = np.zeros(len(self.text), bool)
-            for d in np.flatnonzero(self.abusive & train):
+            passages = 0
+            for d in np.flatnonzero(mine):
                 s, e = self.begin[d], self.begin[d + 1]
-                for b, x, _ in all_segments(scores[s:e], PASSAGE):
+                found = all_segments(scores[s:e], PASSAGE)
+                passages += bool(found)
+                for b, x, _ in found:
                     chosen[s + b : s + x] = True
+            yes, rest = self._parts(chosen), self._parts(mine[self.text] & ~chosen)
         return model
 
 
@@ -253,21 +292,34 @@ def fit_model(sample: Labelled, corpus: np.ndarray, n_corpus: int, folds: int =
     return model
 
 
-def score_documents(documents: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str) -> DataFrame:
-    """(`key`, `score`, `p_value`, `passages`, `abusive`) of every document.
+def score_documents(documents: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, carried: Sequence[str] = ()) -> DataFrame:
+    """(`key`, `score`, `p_value`, `passages`, `abusive`) and the `carried` columns of every document.
 
     The model is fitted on at most LABELLED_DOCUMENTS labelled documents; its prior counts how many of all documents hold
     each of its features. Documents with contradictory labels take no part in the fit. A document's score is that of its
     best passage, its p-value the chance of such a passage in a plain document of its length, and `abusive` says
     whether that is below the level that separates the labels; `passages` counts all significant passages. NULL and empty
     texts score 0. Without labels of both kinds nothing is abusive. Rows without key are left out, repeats scored each.
+
+    Every text is cut into words once; their codes are kept for counting, fitting and scoring. Only codes of the labelled sample come to the driver.
     """
     spark = documents.sparkSession
+    kind = dict(documents.dtypes)
+    kept = {f"_c{i}": c for i, c in enumerate(carried)}
+    docs = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("_d"), F.col(text).alias("_t"), F.xxhash64(text).alias("_h"), *[F.col(c).alias(a) for a, c in kept.items()])
+    held = "".join(f", {a} {kind[c]}" for a, c in kept.items())
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(w=word_codes(b["_t"].tolist()), known=b["_t"].notna()).drop(columns="_t")
+
+    coded = cut_lineage(docs.mapInPandas(cut, f"_d {kind[key]}, _h long{held}, w array<int>, known boolean"))
     votes = labels.where(F.col(label_key).isNotNull() & F.col(label).isNotNull()).distinct().groupBy(F.col(label_key).alias("_k")).agg(F.avg(label).alias("_y")).where("_y <> 0.5")
     votes = votes.orderBy(F.xxhash64("_k"), "_k").limit(LABELLED_DOCUMENTS)
-    docs = documents.select(F.col(key).alias("_d"), F.col(text).alias("_t"))
-    known = docs.join(votes, docs["_d"] == votes["_k"]).where("_t is not null").select("_d", "_t", "_y").orderBy("_d").toPandas().drop_duplicates("_t")
-    sample = Labelled(known["_t"].tolist(), (known["_y"] > 0.5).to_numpy(bool))
+    chosen = coded.join(F.broadcast(votes), coded["_d"] == votes["_k"]).where("known").groupBy("_h").agg(F.min_by(F.struct("_d", "_y", "w"), "_d").alias("v"))
+    known = chosen.select("v.*").orderBy("_d").toPandas()
+    sample = Labelled([np.asarray(w, np.int32) for w in known["w"]], (known["_y"] > 0.5).to_numpy(bool))
+    del known
     vocabulary = spark.sparkContext.broadcast(sample.vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,17 +329,19 @@ def score_documents(documents: DataFrame, key: str, text: str, labels: DataFrame
             n += len(b)
             if not len(words_of):
                 continue
-            codes, text_no, _ = features(b["_t"].tolist())
-            keys = []
+            codes, text_no, _ = joined_features(b["w"].tolist())
+            texts, places = [], []
             for c in codes:
                 at = np.minimum(np.searchsorted(words_of, c), len(words_of) - 1)
                 hit = words_of[at] == c
-                keys.append(text_no[hit].astype(np.int64) * len(words_of) + at[hit])
-            total += np.bincount(np.unique(np.concatenate(keys)) % len(words_of), minlength=len(words_of))
+                texts.append(text_no[hit])
+                places.append(at[hit])
+            pairs = distinct_pairs(np.concatenate(texts), np.concatenate(places), len(words_of))
+            total += np.bincount(pairs % pairs.dtype.type(len(words_of)), minlength=len(words_of))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"i": np.r_[-1, at], "n": np.r_[n, total[at]]})
 
-    counted = docs.where("_t is not null").select("_t").mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    counted = coded.where("known").select("w").mapInPandas(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     corpus, n_corpus = np.zeros(len(sample.vocabulary)), 0
     for i, n in zip(counted["i"], counted["n"], strict=True):
         if i < 0:
@@ -299,7 +353,7 @@ def score_documents(documents: DataFrame, key: str, text: str, labels: DataFrame
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = fitted.value
         for b in batches:
-            codes, text_no, _ = features(b["_t"].tolist())
+            codes, text_no, _ = joined_features(b["w"].tolist())
             scores = model.positions(codes)
             best, _, _ = best_segments(scores, text_no, len(b))
             lengths = np.bincount(text_no, minlength=len(b))
@@ -308,8 +362,7 @@ def score_documents(documents: DataFrame, key: str, text: str, labels: DataFrame
             begin = np.r_[0, np.cumsum(lengths)]
             least = model.location + model.scale * -np.log(max(model.level, 1e-300))
             passages = [len(all_segments(scores[begin[i] : begin[i + 1]], max(least, 1e-9))) if abusive[i] else 0 for i in range(len(b))]
-            yield pd.DataFrame({"_d": b["_d"], "score": best, "p_value": p, "passages": passages, "abusive": abusive})
+            yield b.drop(columns=["_h", "w", "known"]).assign(score=best, p_value=p, passages=passages, abusive=abusive)
 
-    kind = dict(documents.dtypes)[key]
-    scored = docs.where("_d is not null").mapInPandas(scan, f"_d {kind}, score double, p_value double, passages int, abusive boolean")
-    return scored.withColumnRenamed("_d", key)
+    scored = coded.mapInPandas(scan, f"_d {kind[key]}{held}, score double, p_value double, passages int, abusive boolean")
+    return scored.select(F.col("_d").alias(key), *[F.col(a).alias(c) for a, c in kept.items()], "score", "p_value", "passages", "abusive")

@@ -9,8 +9,9 @@ from corvane.llm.abuse import score_documents
 from corvane.sources.tables import table
 
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    return score_documents(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "content_labels", "doc_id", "abusive"), "doc_id", "abusive")
+def _scored(spark: SparkSession, folder: str, *carried: str) -> DataFrame:
+    labels = table(spark, folder, "content_labels", "doc_id", "abusive")
+    return score_documents(table(spark, folder, "documents", "doc_id", "text", *carried), "doc_id", "text", labels, "doc_id", "abusive", carried)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,9 +26,7 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_source_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Of each source the documents and the share that is abusive."""
-    sources = table(spark, folder, "documents", "doc_id", "source")
-    joined = sources.join(_scored(spark, folder), "doc_id", "left")
-    return joined.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"), F.round(F.avg(F.coalesce(F.col("abusive"), F.lit(False)).cast("double")), 6).alias("share"))
+    return _scored(spark, folder, "source").groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"), F.round(F.avg(F.col("abusive").cast("double")), 6).alias("share"))
 
 
 QUERIES = {"p10_found": p10_found, "p10_scores": p10_scores, "p10_source_rates": p10_source_rates}
