@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex as re
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +25,10 @@ BAND = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SIGN = "぀-ヿ㐀-䶿一-鿿豈-﫿々〆ｦ-ﾟ"
-_TOKEN = re.compile(rf"[{_SIGN}]|(?:(?![{_SIGN}_])\w)+")
-_INKLESS = re.compile(r"[\p{Cf}\p{Mn}\p{Me}]")
+_TOKEN = re.compile(rf"[{_SIGN}]|[^\W_{_SIGN}]+")
+_INKLESS = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}]")
 _APOSTROPHE = re.compile(r"(?<=\w)['’](?=\w)")
-_MARKUP = re.compile(r"<[/!?]?[A-Za-z\-][^<>]*>|&[a-z]{2,8};|&#\d{1,6};")
+_MARKUP = re.compile(r"<[/!?|]?[A-Za-z\-|][^<>]*>|&[a-z]{2,8};|&#\d{1,6};")
 
 
 def tokens(text: str) -> list[str]:

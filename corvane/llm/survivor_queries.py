@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.survivor import Field, best_representative, recency
@@ -40,16 +40,21 @@ def _candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _survivors(spark: SparkSession, folder: str, fields: dict[str, Field]) -> DataFrame:
-    rows = _candidates(spark, folder)
+    rank = (F.col("_confidence") * 5 + F.col("_role")) * 4 + F.col("_precision")
+    ranked = _candidates(spark, folder).withColumn("_rank", rank)
+    best = Window.partitionBy("slug", "id").orderBy(F.col("_rank").desc(), F.col("updated_at").desc_nulls_last())
+    rows = ranked.withColumn("_first", F.row_number().over(best) == 1)
     as_of = table(spark, folder, "people", "updated_at").agg(F.max("updated_at")).first()[0]
     decay = recency(F.col("updated_at"), F.lit(as_of), _HALF_LIFE_DAYS)
     return best_representative(rows, "slug", fields, decay, F.col("updated_at"))
 
 
 def _identity() -> Field:
-    """The surviving id: each step of confidence outweighs all roles, each role all precisions; decay (over a half to 1) decides among equals."""
-    rank = (F.col("_confidence") * 5 + F.col("_role")) * 4 + F.col("_precision")
-    return Field(F.col("id"), F.pow(F.lit(4.0), rank))
+    """The surviving id: each step of confidence outweighs all roles, each role all precisions; decay (over a half to 1) decides among equals.
+
+    Of differing rows of one id only the best votes, as several votes could add up to a step.
+    """
+    return Field(F.when(F.col("_first"), F.col("id")), F.pow(F.lit(4.0), F.col("_rank")))
 
 
 def _content() -> dict[str, Field]:

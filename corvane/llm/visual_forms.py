@@ -62,6 +62,16 @@ def look_alike_form(readable: Column) -> Column:
     return F.translate(joined, "".join(_SHAPES), "".join(_SHAPES.values()))
 
 
+def form_sql(column: str) -> tuple[str, str]:
+    """SQL of the readable form of a column, and of the class key of a column of such forms, for engines with translate and nfc_normalize."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    readable = f"regexp_replace(translate({column}, {quoted(''.join(_PLAIN) + _GONE)}, {quoted(''.join(_PLAIN.values()))}), '^[ \\-]+|[ \\-]+$', '', 'g')"
+    joined = "plain"
+    for pair, sign in _MARKED.items():
+        joined = f"replace({joined}, {quoted(pair)}, {quoted(sign)})"
+    return readable, f"nfc_normalize(translate({joined}, {quoted(''.join(_SHAPES))}, {quoted(''.join(_SHAPES.values()))}))"
+
+
 def visual_classes(values: DataFrame, scope: list[str], text: str) -> DataFrame:
     """`values` with `form`, its class's canonical member.
 

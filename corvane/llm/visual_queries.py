@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.visual_forms import visual_classes, visual_pairs
+from corvane.llm.visual_forms import form_sql, visual_classes, visual_pairs
 from corvane.sources.tables import table
 
 
@@ -35,4 +35,13 @@ def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_forms": p7_forms}
-SQL: dict[str, str] = {}
+_READABLE, _KEY = form_sql("value")
+_ROWS = f"""WITH v AS (SELECT DISTINCT 'person_aliases.name' AS field, person_id AS owner, id, name AS value FROM person_aliases UNION ALL SELECT DISTINCT 'works.title_original', '', id, title_original FROM works UNION ALL SELECT DISTINCT 'releases.code', '', id, code FROM releases),
+f AS (SELECT *, {_READABLE} AS plain FROM v), k AS (SELECT *, {_KEY} AS class FROM f),
+n AS (SELECT field, owner, class, plain, value, count(*) AS n FROM k WHERE value IS NOT NULL GROUP BY ALL),
+c AS (SELECT field, owner, class, plain AS form FROM n QUALIFY row_number() OVER (PARTITION BY field, owner, class ORDER BY n DESC, length(plain), plain) = 1)
+"""
+SQL = {
+    "p7_found": _ROWS + "SELECT DISTINCT a.field, a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.field = b.field AND a.owner IS NOT DISTINCT FROM b.owner AND a.class = b.class AND a.value <> b.value AND a.id < b.id",
+    "p7_forms": _ROWS + "SELECT k.field, id, value, form FROM k LEFT JOIN c ON c.field = k.field AND c.owner IS NOT DISTINCT FROM k.owner AND c.class = k.class",
+}
