@@ -163,8 +163,15 @@ def attribute_edges(page_forms: DataFrame, page_facts: DataFrame, entity_forms:
     left = cut_lineage(page_forms.join(page_facts, "page", "left").withColumn("level", F.coalesce("level", F.lit(0))))
     e = right.alias("e")
     slips = F.array("date", *[F.date_add("date", n) for n in _SLIPS], F.try_to_date(F.date_format("date", "yyyy-dd-MM"), "yyyy-MM-dd"))
-    exact = left.where("level = 3").withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
-    by_day = exact.alias("p").join(e.where("level = 3"), (F.col("p.form") == F.col("e.form")) & (F.col("p._key") == F.col("e.date")))
+    family = F.col("form").startswith("F")
+    # forms of few bearers meet within the year, as do those of many, but by the days that may fit, so that no bucket grows without bound
+    keyed = family | (F.col("bearing") > SPLIT)
+    wide = right.where(keyed).select("form").distinct()
+    exact = left.where("level = 3").join(wide, "form", "left_semi").withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
+    days = e.where("level = 3").where(keyed)
+    by_key = exact.alias("p").join(days, (F.col("p.form") == F.col("e.form")) & (F.col("p._key") == F.col("e.date")) & (F.col("p.form").startswith("F") | (F.year("p.date") == F.col("e.year"))))
+    within = right.where((F.col("level") == 3) & ~keyed).alias("e")
+    by_day = left.where("level = 3").alias("p").join(within, (F.col("p.form") == F.col("e.form")) & (F.year("p.date") == F.col("e.year")))
     placed = F.coalesce(F.col("p_place"), F.lit(1.0))
     coarse = right.where((F.col("level") > 0) & ~F.col("form").startswith("F") & (F.col("spread") * F.when(F.col("level") == 1, F.col("p_year")).otherwise(F.col("p_year") / 12) * placed <= CHANCE))
     by_year = left.where("level > 0").alias("p").join(coarse.alias("e"), (F.col("p.form") == F.col("e.form")) & (F.year("p.date") == F.col("e.year")) & (F.least("p.level", "e.level") < 3))
@@ -174,7 +181,7 @@ def attribute_edges(page_forms: DataFrame, page_facts: DataFrame, entity_forms:
         x = joined.select("p.page", "e.entity", by.alias("by"), "e.bearers", "e.p_day", "e.p_year", "e.p_place", F.col("p.place").alias("pp"), F.col("e.place").alias("ep"))
         return x.where("by <> 'conflict'")
 
-    met = cut_lineage(edges(by_day).unionByName(edges(by_year)))
+    met = cut_lineage(edges(by_day).unionByName(edges(by_key)).unionByName(edges(by_year)))
     return met.unionByName(edges(_undated_pairs(left, right, same_places(met))))
 
 

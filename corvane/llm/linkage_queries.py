@@ -26,7 +26,7 @@ def _linked(spark: SparkSession, folder: str) -> DataFrame:
     at = stated.where("field = 'place'").select("page", place_key(F.col("value"), forms).alias("place")).join(places, "place", "left")
     at = at.groupBy("page").agg(F.max(F.coalesce("same", "place")).alias("place"))
     facts = stated.select("page").distinct().join(dates, "page", "left").join(at, "page", "left")
-    asked = cut_lineage(all_forms(cut_lineage(typed), "page", True))
+    asked = cut_lineage(all_forms(typed, "page", True))
     offered = all_forms(names, "entity", False, text_filter(asked.select("form"), form_hashes))
     edges = cut_lineage(attribute_edges(asked, facts, offered, known))
     # of an entity's rows the one that states most stands for it

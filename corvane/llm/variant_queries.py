@@ -24,10 +24,12 @@ def people_names(rows: DataFrame, spark: SparkSession, folder: str, forms: dict[
     long = rows.select("entity", F.explode(F.array("primary_name", "name_ja", "name_zh", "name_en")).alias("name")).where("name is not null")
     names = cut_lineage(typed_names(long.distinct(), "entity", "name", forms).distinct())
     aliases = table(spark, folder, "person_aliases", "person_id", "name").distinct().join(rows.select("id", "entity").distinct(), F.col("person_id") == F.col("id")).select("entity", "name").distinct()
+    if not with_aliases:
+        aliases = aliases.where("name rlike '\\\\p{IsLatin}'")
     borne = cut_lineage(typed_names(aliases, "entity", "name", forms).distinct())
     # a full name in letters among the aliases tells how the name in characters is read; their characters may be those of another name
     dictionary = cut_lineage(reading_dictionary(names.unionByName(borne.where("kind = 'full' and latin")), "entity"))
-    return cut_lineage(with_readings(names.unionByName(borne).distinct() if with_aliases else names, dictionary)), dictionary
+    return with_readings(names.unionByName(borne).distinct() if with_aliases else names, dictionary), dictionary
 
 
 def people_entities(rows: DataFrame, forms: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -95,14 +95,14 @@ def with_readings(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     one = dictionary.select(F.col("part").alias("first"), F.col("as_family").alias("first_f"), F.col("as_given").alias("first_g"))
     two = dictionary.select(F.col("part").alias("second"), F.col("as_family").alias("second_f"), F.col("as_given").alias("second_g"))
-    read = names.join(one, "first", "left").join(two, "second", "left")
+    read = cut_lineage(names.join(one, "first", "left").join(two, "second", "left"))
     text = F.concat("first", "second")
-    odd = read.where(text.rlike("^\\p{IsHan}{2,6}$") & F.col("order").isin("F") & F.col("kind").isin("full", "whole") & (F.col("first_f").isNull() | F.col("second_g").isNull()))
+    odd = read.where(text.rlike("^\\p{IsHan}{2,6}$") & (F.col("order") == "F") & F.col("kind").isin("full", "whole") & (F.col("first_f").isNull() | F.col("second_g").isNull()))
     at = odd.select(*[c for c in names.columns if c not in ("kind", "first", "second", "order")], text.alias("_t"), F.length("first").alias("_n"), F.explode(F.sequence(F.lit(1), F.length(text) - 1)).alias("_i"))
     cut = at.select("*", F.lit("full").alias("kind"), F.expr("substring(_t, 1, _i)").alias("first"), F.expr("substring(_t, _i + 1)").alias("second")).join(one, "first").join(two, "second")
-    forward = cut.where("_i <> _n and first_f is not null and second_g is not null").withColumn("order", F.lit("F"))
-    reverse = cut.where("first_g is not null and second_f is not null").withColumn("order", F.lit("G"))
-    return read.unionByName(forward.select(*read.columns)).unionByName(reverse.select(*read.columns))
+    forward = F.when((F.col("_i") != F.col("_n")) & F.col("first_f").isNotNull() & F.col("second_g").isNotNull(), F.lit("F"))
+    reverse = F.when(F.col("first_g").isNotNull() & F.col("second_f").isNotNull(), F.lit("G"))
+    return read.unionByName(cut.withColumn("order", F.explode(F.array_compact(F.array(forward, reverse)))).select(*read.columns))
 
 
 # --- canonical rewritings ----------------------------------------------------------------------------
