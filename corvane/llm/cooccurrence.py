@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from corvane.session import cut_lineage
@@ -17,6 +18,30 @@ RUN_CODES = 2_000_000
 #: Members of a record up to which its pairs are made in one piece; larger ones are split into blocks of this size.
 BLOCK_MEMBERS = 1_000
 
+_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z"
+
+
+def _packed(df: DataFrame, name: str) -> Column:
+    """A column of texts as bytes, those in the form of a UUID as its 16: less than half of what else is shuffled. Other types as they are.
+
+    The first byte of other texts tells how many bytes stand before them, of which there are two where one would make 16.
+    """
+    c = F.col(name)
+    if df.select(c).schema[0].dataType != StringType():
+        return c
+    tag = F.when(F.octet_length(c) == 15, F.lit(b"\1\0")).otherwise(F.lit(b"\0"))
+    return F.when(c.rlike(_UUID), F.unhex(F.replace(c, F.lit("-"), F.lit("")))).otherwise(F.concat(tag, c.cast("binary")))
+
+
+def _unpacked(c: Column, df: DataFrame, name: str) -> Column:
+    """The value of which `_packed` made `c`."""
+    if df.select(F.col(name)).schema[0].dataType != StringType():
+        return c
+    digits = F.lower(F.hex(c))
+    parts = [F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    text = F.when(F.substring(c, 1, 1) == F.lit(b"\0"), F.substring(c, 2, 2**31 - 1)).otherwise(F.substring(c, 3, 2**31 - 1))
+    return F.when(F.octet_length(c) == 16, F.concat_ws("-", *parts)).otherwise(text.cast("string"))
+
 
 def _run_lengths(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Different codes of a sorted array with their summed counts."""
@@ -103,41 +128,47 @@ def _numbered(df: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(at), part == F.col("_p")).withColumn("_code", F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_start")
 
 
-def _count_codes(members: DataFrame, least: int, block: int) -> DataFrame:
-    """(`code`, `n` >= `least`) from (`_record`, `_code`, `_size` of the record).
+def _count_codes(light: DataFrame, heavy: DataFrame | None, least: int, block: int) -> DataFrame:
+    """(`code`, `n` >= `least`) from (`_record`, `_code`) of records of at most `block` rows and (`_record`, `_code`, `_size` of the record) of the others.
 
     A record above `block` members is cut into blocks; each two blocks meet in a group of their own, so
     that no group exceeds about two blocks. Tasks sort their codes into runs; the shuffle's external
     sorter spills and merges the runs, and what comes out is counted by run length.
     """
-    blocks = F.ceil(F.col("_size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("_code"), blocks).cast("int")
-    small = members.where(F.col("_size") <= block).select(F.xxhash64("_record").alias("_hash"), "_record", F.lit(0).alias("_i"), F.lit(0).alias("_j"), F.lit(2).alias("_side"), "_code")
-    large = members.where(F.col("_size") > block).withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    first, second = F.least("_b", "_o"), F.greatest("_b", "_o")
-    side = F.when(F.col("_b") == F.col("_o"), F.lit(2)).otherwise((F.col("_b") > F.col("_o")).cast("int"))
-    large = large.select(F.xxhash64("_record", first, second).alias("_hash"), "_record", first.alias("_i"), second.alias("_j"), side.alias("_side"), "_code")
-    grouped = small.unionByName(large).repartition("_hash").sortWithinPartitions("_hash", "_record", "_i", "_j", "_code")
-    # equal hashes of different groups would mix them: groups are numbered by where they begin
-    begin = F.concat_ws(" ", "_record", "_i", "_j")
-    rows = grouped.select(begin.alias("g"), F.col("_side").cast("long").alias("side"), "_code")
-    runs = rows.mapInArrow(_from_names(), "code long, n long")
+    grouped = light.repartition("_record").distinct().sortWithinPartitions("_record", "_code")
+    runs = grouped.select(_name(light), F.lit(2).cast("long").alias("side"), "_code").mapInArrow(_from_names(1), "code long, n long")
+    if heavy is not None:
+        blocks = F.ceil(F.col("_size") / block).cast("int")
+        mine = F.pmod(F.xxhash64("_code"), blocks).cast("int")
+        met = heavy.withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        first, second = F.least("_b", "_o"), F.greatest("_b", "_o")
+        side = F.when(F.col("_b") == F.col("_o"), F.lit(2)).otherwise((F.col("_b") > F.col("_o")).cast("int"))
+        parts = met.select("_record", first.alias("_i"), second.alias("_j"), side.cast("long").alias("side"), "_code")
+        parts = parts.repartition("_record", "_i", "_j").sortWithinPartitions("_record", "_i", "_j", "_code")
+        runs = runs.unionByName(parts.select(_name(heavy), "_i", "_j", "side", "_code").mapInArrow(_from_names(3), "code long, n long"))
     return runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merged_runs(least), "code long, n long")
 
 
-def _from_names():
-    """The runs' maker for rows whose groups are named by strings: neighbours of equal name get one number."""
+def _name(df: DataFrame) -> Column:
+    """The record as bytes or as text, equal for equal records of any type."""
+    return F.col("_record") if dict(df.dtypes)["_record"] == "binary" else F.col("_record").cast("string")
+
+
+def _from_names(width: int):
+    """The runs' maker for rows whose groups are named by the first `width` columns: neighbours of equal name get one number."""
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, number = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            new = np.r_[names[0] != last, names[1:] != names[:-1]]
+            names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
+            new = np.zeros(batch.num_rows, bool)
+            for i, x in enumerate(names):
+                new |= np.r_[last is None or x[0] != last[i], x[1:] != x[:-1]]
             group = number + np.cumsum(new)
-            last, number = names[-1], int(group[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(1), batch.column(2)], names=["g", "side", "code"])
+            last, number = [x[-1] for x in names], int(group[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(group), batch.column(width), batch.column(width + 1)], names=["g", "side", "code"])
 
     return lambda batches: _sorted_runs(numbered(batches))
 
@@ -163,25 +194,35 @@ def items_together(df: DataFrame, record: str, item: str, least: int = 5, times:
     item leaves out its `least` - 1 largest such records when pairs are made; a pair that qualifies is
     still met in its smallest common record. What was left out is then counted for the pairs met.
     """
-    rows = df.select(F.col(record).alias("_record"), F.col(item).alias("_item"))
-    n = rows.agg(F.count_distinct("_record")).first()[0]
-    pairs = cut_lineage(rows.where("_record is not null and _item is not null").distinct())
-    known = pairs.groupBy("_item").agg(F.count("*").alias("_n")).where((F.col("_n") >= least) & (F.col("_n") * times <= n))
-    items = cut_lineage(_numbered(known))
-    coded = pairs.join(items.select("_item", "_code"), "_item").select("_record", "_code")
-    sizes = coded.groupBy("_record").agg(F.count("*").alias("_size")).where("_size > 1")
-    members = cut_lineage(coded.join(sizes, "_record"))
-    heavy = members.where(F.col("_size") > block)
-    if least < 2 or heavy.isEmpty():
-        counted = _count_codes(members, least, block)
+    rows = df.select(_packed(df, record).alias("_record"), _packed(df, item).alias("_item"))
+    each = rows.where("_record is not null").groupBy("_record").agg(F.count("*").alias("_rows"))
+    n, most = each.agg(F.count("*"), F.max("_rows")).first()
+    stated = rows.where("_record is not null and _item is not null")
+    known = stated.distinct().groupBy("_item").agg(F.count("*").alias("_n")).where((F.col("_n") >= least) & (F.col("_n") * times <= n))
+    items = _numbered(known)
+    coded = lambda x: x.join(items.select("_item", "_code"), "_item").select("_record", "_code")
+    if (most or 0) <= block:
+        counted = _count_codes(coded(stated), None, least, block)
     else:
-        order = Window.partitionBy("_code").orderBy(F.col("_size").desc(), F.col("_record").desc())
-        left_out = cut_lineage(heavy.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") < least).select("_record", "_code"))
-        made = members.join(left_out, ["_record", "_code"], "left_anti")
-        counted = _with_left_out(cut_lineage(_count_codes(made, 1, block)), left_out, heavy.select("_record", "_code"), least)
+        # records of few rows need no sizes, and no task gets more than `block` rows of one of them
+        large = cut_lineage(each.where(F.col("_rows") > block).select("_record"))
+        light = coded(stated.join(large, "_record", "left_anti"))
+        pairs = cut_lineage(coded(stated.join(large, "_record", "left_semi")).distinct())
+        sized = cut_lineage(pairs.join(pairs.groupBy("_record").agg(F.count("*").alias("_size")), "_record"))
+        heavy = sized.where(F.col("_size") > block)
+        light = light.unionByName(sized.where(F.col("_size") <= block).select("_record", "_code"))
+        if least < 2 or heavy.isEmpty():
+            counted = _count_codes(light, heavy, least, block)
+        else:
+            order = Window.partitionBy("_code").orderBy(F.col("_size").desc(), F.col("_record").desc())
+            left_out = cut_lineage(heavy.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") < least).select("_record", "_code"))
+            made = heavy.join(left_out, ["_record", "_code"], "left_anti")
+            counted = _with_left_out(cut_lineage(_count_codes(light, made, 1, block)), left_out, heavy.select("_record", "_code"), least)
     a, b = items.select(F.col("_code").alias("_a"), F.col("_item").alias("_item_a"), F.col("_n").alias("_n_a")), items.select(F.col("_code").alias("_b"), F.col("_item").alias("_item_b"), F.col("_n").alias("_n_b"))
     split = counted.select(F.shiftright("code", 32).alias("_a"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("_b"), F.col("n").alias("n_ab"))
     named = split.join(a, "_a").join(b, "_b").where(F.col("n_ab") * n >= F.lit(times) * F.col("_n_a") * F.col("_n_b"))
+    for c in ("_item_a", "_item_b"):
+        named = named.withColumn(c, _unpacked(F.col(c), df, item))
     swap = F.col("_item_a") > F.col("_item_b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return named.select(

@@ -56,3 +56,40 @@ def test_empty_table_and_clashing_columns(spark):
     assert rows(items_together(spark.createDataFrame([], SCHEMA), "w", "p")) == []
     df = spark.createDataFrame([(f"w{i}", p, 1, 2) for i in range(60) for p in (("a", "b") if i < 6 else ("c",))], SCHEMA + ", _n int, _code int")
     assert rows(items_together(df, "w", "p").select("item_a", "item_b", "n_ab")) == [("a", "b", 6)]
+
+
+def test_names_of_any_form_and_type(spark):
+    """Texts are packed without loss and without mixing UUIDs, their look-alikes and texts of the lengths between."""
+    from pyspark.sql import functions as F
+
+    from corvane.llm.cooccurrence import _packed, _unpacked
+
+    uuid = "00010203-0405-0607-0809-0a0b0c0d0eff"
+    texts = [uuid, uuid.upper(), uuid[:-1], uuid + "\n", uuid.replace("-", ""), "", "\0", "\0" * 15, "\1\0" + "x" * 13, *["x" * n for n in range(12, 20)], "一" * 5, "田中"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    packed = df.select("t", _packed(df, "t").alias("p"))
+    assert packed.select("p").distinct().count() == len(texts)
+    assert packed.where(_unpacked(F.col("p"), df, "t") == F.col("t")).count() == len(texts)
+    assert packed.where(F.col("t") == uuid).first()["p"] == bytes([*range(15), 255])
+    numbers = [(int(w[1:]), float(int(p[1:]))) for w, p in make(3) if w and w[0] == "w" and p and p[0] == "p"]
+    got = items_together(spark.createDataFrame(numbers, "w long, p double"), "w", "p")
+    want = brute(numbers, 5, 10)
+    assert want and sorted(rows(got.drop("odds_ratio"))) == want
+
+
+def test_little_is_moved(spark, tmp_path):
+    """No table of strings is checkpointed: what is written to disk there stays far below the input."""
+    import uuid
+
+    rng = random.Random(4)
+    name = lambda: str(uuid.UUID(int=rng.getrandbits(128)))
+    people = [name() for _ in range(500)]
+    data = [(w, p) for w in (name() for _ in range(5000)) for p in rng.sample(people, 4)]
+    context = spark.sparkContext
+    before = context._jsc.sc().getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    items_together(spark.createDataFrame(data, SCHEMA), "w", "p").collect()
+    written = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    if before.isDefined():
+        context.setCheckpointDir(before.get().rpartition("/")[0])
+    assert 0 < written < 72 * len(data) / 10
