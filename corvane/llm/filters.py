@@ -32,7 +32,7 @@ def filter_of(bits: DataFrame) -> Broadcast:
 
 def passes(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be members."""
-    bit = (hashes.view(np.int64) % BITS).astype(np.int64)
+    bit = hashes.view(np.int64) & (BITS - 1)
     return (whole[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 

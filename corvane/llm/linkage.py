@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.names import Parts, is_han
-from corvane.llm.variants import SPLIT, UNSEEN, kept, parts_of, persons, rewritings, slips
+from corvane.llm.variants import SPLIT, UNSEEN, kept, parts_of, persons, rewritings, slip_forms, slip_parts
 from corvane.session import cut_lineage
 
 _MONTHS = {m: i + 1 for i, m in enumerate(["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"])}
@@ -132,12 +132,13 @@ def _forms(key: str, stated: bool, keep: Broadcast | None):
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple[str, str, str]] = []
-            slipped: list[tuple[str, str]] = []
+            sounds: list[tuple[str, str, str]] = []
             for k, p, one, two, latin in parts_of(b, key):
                 rows += [(k, form, side) for form, side in rewritings(p, one, two).items() if not (stated and side == "x")]
                 rows += [(k, form, side) for form, side in partial_forms(p, stated).items()]
-                if p.kind == "full" and (latin or not stated):
-                    slipped += [(k, form) for form in slips(p, one, two, None if keep is None else keep.value)]
+                if p.kind == "full" and (latin or not stated) and (parts := slip_parts(p, one, two)):
+                    sounds.append((k, *parts))
+            slipped = slip_forms(sounds, None if keep is None else keep.value)
             yield pd.concat([kept(rows, key, keep)[[key, "form"]], pd.DataFrame(slipped, columns=[key, "form"])])
 
     return make
@@ -148,48 +149,52 @@ def all_forms(names: DataFrame, key: str, stated: bool, keep: Broadcast | None =
     return names.mapInPandas(_forms(key, stated, keep), f"{key} string, form string").distinct()
 
 
-def attribute_edges(page_forms: DataFrame, page_facts: DataFrame, entity_forms: DataFrame, entities: DataFrame) -> DataFrame:
-    """The candidate graph: (`page`, `entity`) with what both ends share and how rare it is.
+def stated_forms(page_forms: DataFrame, page_facts: DataFrame) -> DataFrame:
+    """(`page`, `form`, `date`, `level`, `place`): the forms of each page beside what else it states."""
+    return page_forms.join(page_facts, "page", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+def attribute_edges(left: DataFrame, entity_forms: DataFrame, entities: DataFrame) -> DataFrame:
+    """The candidate graph of `stated_forms`, which are read several times: (`page`, `entity`) with what both ends share and how rare it is.
 
     Names meet by equi-join on the form and, where both state one, the exact date or one a slip away, else the year of
     birth (family names alone only on dates); a side without date meets the bearers of forms that suffice alone, those of other
     forms where both sides state one place. Edges of ends whose dates conflict, and those that even the best agreement leaves above
     CHANCE, are left out, the latter before they are made where a form tells.
     """
-    offered = entity_forms.join(page_forms.select("form").distinct(), "form", "left_semi").join(entities, "entity")
-    offered = cut_lineage(offered)
-    df = offered.groupBy("form").agg(F.count("*").alias("bearing"), persons().alias("bearers"))
-    right = cut_lineage(offered.join(df, "form").withColumn("spread", F.col("bearers") - 1 + UNSEEN))
-    left = cut_lineage(page_forms.join(page_facts, "page", "left").withColumn("level", F.coalesce("level", F.lit(0))))
+    offered = cut_lineage(entity_forms.join(left.select("form").distinct(), "form", "left_semi").join(entities, "entity"))
+    df = cut_lineage(offered.groupBy("form").agg(F.count("*").alias("bearing"), persons().alias("bearers")).withColumn("spread", F.col("bearers") - 1 + UNSEEN))
+    right = cut_lineage(offered.join(df, "form"))
     e = right.alias("e")
     slips = F.array("date", *[F.date_add("date", n) for n in _SLIPS], F.try_to_date(F.date_format("date", "yyyy-dd-MM"), "yyyy-MM-dd"))
     family = F.col("form").startswith("F")
     # forms of few bearers meet within the year, as do those of many, but by the days that may fit, so that no bucket grows without bound
     keyed = family | (F.col("bearing") > SPLIT)
-    wide = right.where(keyed).select("form").distinct()
+    wide = df.where(keyed).select("form")
     exact = left.where("level = 3").join(wide, "form", "left_semi").withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
     days = e.where("level = 3").where(keyed)
     by_key = exact.alias("p").join(days, (F.col("p.form") == F.col("e.form")) & (F.col("p._key") == F.col("e.date")) & (F.col("p.form").startswith("F") | (F.year("p.date") == F.col("e.year"))))
-    within = right.where((F.col("level") == 3) & ~keyed).alias("e")
-    by_day = left.where("level = 3").alias("p").join(within, (F.col("p.form") == F.col("e.form")) & (F.year("p.date") == F.col("e.year")))
+    # days of forms of few bearers, and dates of which one is coarser than a day, in one join
     placed = F.coalesce(F.col("p_place"), F.lit(1.0))
-    coarse = right.where((F.col("level") > 0) & ~F.col("form").startswith("F") & (F.col("spread") * F.when(F.col("level") == 1, F.col("p_year")).otherwise(F.col("p_year") / 12) * placed <= CHANCE))
-    by_year = left.where("level > 0").alias("p").join(coarse.alias("e"), (F.col("p.form") == F.col("e.form")) & (F.year("p.date") == F.col("e.year")) & (F.least("p.level", "e.level") < 3))
+    coarse = ~family & (F.col("spread") * F.when(F.col("level") == 1, F.col("p_year")).otherwise(F.col("p_year") / 12) * placed <= CHANCE)
+    within = right.where("level > 0").withColumn("_day", (F.col("level") == 3) & ~keyed).withColumn("_coarse", coarse).where("_day or _coarse")
+    both_days = F.least("p.level", "e.level") == 3
+    by_year = left.where("level > 0").alias("p").join(within.alias("e"), (F.col("p.form") == F.col("e.form")) & (F.year("p.date") == F.col("e.year")) & F.when(both_days, F.col("e._day")).otherwise(F.col("e._coarse")))
     by = _date_evidence()
 
     def edges(joined: DataFrame) -> DataFrame:
         x = joined.select("p.page", "e.entity", by.alias("by"), "e.bearers", "e.p_day", "e.p_year", "e.p_place", F.col("p.place").alias("pp"), F.col("e.place").alias("ep"))
         return x.where("by <> 'conflict'")
 
-    met = cut_lineage(edges(by_day).unionByName(edges(by_key)).unionByName(edges(by_year)))
-    return met.unionByName(edges(_undated_pairs(left, right, same_places(met))))
+    met = cut_lineage(edges(by_key).unionByName(edges(by_year)))
+    return met.unionByName(edges(_undated_pairs(left, right, df, same_places(met))))
 
 
-def _undated_pairs(left: DataFrame, right: DataFrame, places: DataFrame) -> DataFrame:
+def _undated_pairs(left: DataFrame, right: DataFrame, df: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs `p`, `e` of which one has no date: those of a form that suffices alone, and those that share a form and a place. Forms of many are joined in parts."""
     at = cut_lineage(places)
     alone = F.col("spread") <= CHANCE
-    shape = cut_lineage(right.groupBy("form").agg(F.first("spread").alias("spread"), (F.first("bearing") / SPLIT).cast("int").alias("_last")))
+    shape = df.select("form", "spread", (F.col("bearing") / SPLIT).cast("int").alias("_last"))
 
     def keyed(x: DataFrame) -> DataFrame:
         named = x.join(at, "place", "left").withColumn("at", F.when(alone, F.lit("")).otherwise(F.coalesce("same", "place")))

@@ -20,8 +20,11 @@ PET_ENDINGS = ["ちゃん", "たん", "ちん", "チャン", "タン", "-chan",
 TITLES = ["dr", "dr.", "mr", "mr.", "ms", "ms.", "mrs", "mrs.", "miss", "prof", "prof."]
 #: Legal forms and words for a group, dropped from names of organisations and ensembles.
 LEGAL_FORMS = ["株式会社", "有限会社", "合同会社", "有限公司", "股份有限公司", "(株)", "(有)", "inc", "inc.", "ltd", "ltd.", "co.", "llc", "gmbh", "k.k."]
+_LEGAL, _HONORIFICS = tuple(LEGAL_FORMS), tuple(HONORIFICS)
 _HAN = re.compile(r"[一-鿿㐀-䶿豈-﫿々〆ヶ]+")
 _KANA = re.compile(r"[ぁ-ゖァ-ヺー゙゚]+")
+#: Text that cleaning leaves as it is, but for blanks.
+_PLAIN = re.compile(r"[ !-~]*|[ 一-鿿々ぁ-ゖァ-ヺー]*")
 _BRACKETS = re.compile(r"[(（\[【](.*?)[)）\]】]")
 
 
@@ -35,14 +38,19 @@ _SYLLABLES = _syllables()
 
 def clean(name: str) -> str:
     """One width, no characters without ink, one blank between words, new forms of characters."""
+    if _PLAIN.fullmatch(name):
+        return " ".join(name.split()).translate(_OLD)
     text = unicodedata.normalize("NFKC", name)
     text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc") and not ("︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef"))
     text = re.sub(r"[‐-―−﹣]", "-", unicodedata.normalize("NFC", text))
     return re.sub(r"\s+", " ", text).strip().translate(_OLD)
 
 
+@lru_cache(maxsize=200_000)
 def kana_to_latin(text: str) -> str:
     """Hepburn letters of kana; other characters stay."""
+    if text.isascii():
+        return text
     out = ""
     double = False
     for c in text:
@@ -60,17 +68,19 @@ def kana_to_latin(text: str) -> str:
     return out
 
 
-_LATIN_RULES = [(re.compile(p), r) for p, r in [("sy", "sh"), ("ty", "ch"), ("[zj]y", "j"), ("si", "shi"), ("ti", "chi"), ("tu", "tsu"), ("(?<![sc])hu", "fu"), ("zi", "ji"), ("di", "ji"), ("d[zu]u?", "zu"), ("m(?=[bp])", "n"), ("wo", "o"), ("l", "r")]]
+# Each rule with the letters without which it changes nothing.
+_LATIN_RULES = [(needs, re.compile(p), r) for needs, p, r in [("y", "sy", "sh"), ("y", "ty", "ch"), ("y", "[zj]y", "j"), ("si", "si", "shi"), ("ti", "ti", "chi"), ("tu", "tu", "tsu"), ("hu", "(?<![sc])hu", "fu"), ("zi", "zi", "ji"), ("di", "di", "ji"), ("d", "d[zu]u?", "zu"), ("m", "m(?=[bp])", "n"), ("wo", "wo", "o"), ("l", "l", "r")]]
+_LONG, _DOUBLE = re.compile(r"o[uh](?![aeiou])|ou"), re.compile(r"(.)\1+")
 
 
 @lru_cache(maxsize=200_000)
 def reading(text: str) -> str:
     """One spelling for all romanisations of a reading: other systems become Hepburn, long vowels and double letters single, marks and signs are dropped."""
-    latin = "".join(c for c in unicodedata.normalize("NFD", kana_to_latin(text).lower()) if "a" <= c <= "z")
-    latin = re.sub(r"d(?=u)", "z", latin)
-    for rule, by in _LATIN_RULES:
-        latin = rule.sub(by, latin)
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"o[uh](?![aeiou])|ou", "o", latin))
+    latin = letters(text).replace("du", "zu")
+    for needs, rule, by in _LATIN_RULES:
+        if needs in latin:
+            latin = rule.sub(by, latin)
+    return _DOUBLE.sub(r"\1", _LONG.sub("o", latin))
 
 
 @dataclass(frozen=True)
@@ -86,6 +96,7 @@ class Parts:
     order: str = "F"
 
 
+@lru_cache(maxsize=200_000)
 def is_han(text: str) -> bool:
     return bool(text) and _HAN.fullmatch(text) is not None
 
@@ -106,11 +117,11 @@ def parse(name: str) -> Parts | None:
     text = _BRACKETS.sub(" ", text).strip()
     text = re.sub(r"\s+", " ", re.sub(r"[・·･]", " ", text))
     low = text.lower()
-    for form in LEGAL_FORMS:
+    for form in LEGAL_FORMS if low.startswith(_LEGAL) or low.endswith(_LEGAL) else ():
         if low.startswith(form) or low.endswith(" " + form) or (low.endswith(form) and not form.isascii()):
             text = text[len(form) :].strip() if low.startswith(form) and not form.isascii() else text[: -len(form)].strip() if low.endswith(form) else text
             low = text.lower()
-    for h in HONORIFICS:
+    for h in HONORIFICS if low.endswith(_HONORIFICS) else ():
         if len(text) > len(h) + 1 and (low.endswith(h) if not h.isascii() else low.endswith(("-" + h, " " + h))):
             text = text[: -len(h)].strip(" -")
             low = text.lower()
@@ -156,7 +167,8 @@ def _with_initial(a: str, b: str, order: str) -> Parts:
 
 def _pet(text: str, inside: list[str]) -> Parts | None:
     """Family name and the beginning of a given name: 'Shi-chan Koe', a name ending in a pet form, or a pet form with the family in brackets."""
-    m = re.fullmatch(r"(\w+?)-?(?:chan|tan)[ ,]+(\w+)", text, re.I) or re.fullmatch(r"(?P<f>\w+)[ ,]+(?P<g>\w+?)-?(?:chan|tan)", text, re.I)
+    latin = any(x in text.lower() for x in ("chan", "tan"))
+    m = latin and (re.fullmatch(r"(\w+?)-?(?:chan|tan)[ ,]+(\w+)", text, re.I) or re.fullmatch(r"(?P<f>\w+)[ ,]+(?P<g>\w+?)-?(?:chan|tan)", text, re.I))
     if m and text.isascii():
         groups = m.groupdict()
         return Parts("pet", groups.get("f") or m[2], groups.get("g") or m[1], "F")
@@ -168,12 +180,14 @@ def _pet(text: str, inside: list[str]) -> Parts | None:
             words = stem.split(" ")
             two = (words[0], words[1]) if len(words) == 2 else _two(stem) or ((stem[:2], stem[2:]) if is_han(stem[:2]) and len(stem) > 2 else None)
             return Parts("pet", two[0], two[1], "F") if two else Parts("pet", "", stem, "F")
-    m = re.fullmatch(r"([A-Za-z]{2,}?)-(?:chan|tan)", text, re.I)
+    m = latin and re.fullmatch(r"([A-Za-z]{2,}?)-(?:chan|tan)", text, re.I)
     return Parts("pet", "", m[1], "F") if m else None
 
 
 def letters(text: str) -> str:
     """The letters of a Latin or kana word as typed, in lower case."""
+    if text.isascii() and text.isalpha():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFD", kana_to_latin(text).lower()) if "a" <= c <= "z")
 
 

@@ -26,6 +26,8 @@ SPLIT = 500
 WRONG_SIGN = 20.0
 #: The same for each slip of a letter after the first.
 SECOND_SLIP = 4.0
+#: Pairs of remains of two parts that are compared with a filter at a time.
+SLIPS_AT_ONCE = 1 << 18
 #: Factor for places that conflict.
 OTHER_PLACE = 30.0
 
@@ -194,18 +196,49 @@ def form_hashes(forms: list[str]) -> np.ndarray:
     return out
 
 
-def slips(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None], keep: np.ndarray | None = None) -> list[str]:
-    """Forms that a full name shares with another whose parts are each at most one slip of a letter away, in either order."""
+def slip_parts(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None]) -> tuple[str, str] | None:
+    """The sounds of both parts of a full name in which slips are looked for."""
     f, g = (p.first, p.second) if p.order != "G" else (p.second, p.first)
     rf, rg = (_sound(f, first[0]), _sound(g, second[1])) if p.order != "G" else (_sound(f, second[0]), _sound(g, first[1]))
     if not rf or not rg:
-        return []
+        return None
     a, b = reading(rf), reading(rg)
-    if len(a) < 3 or len(b) < 2:
-        return []
-    (xs, hx), (ys, hy) = _deleted(a), _deleted(b)
-    wanted = np.ones((len(xs), len(ys)), bool) if keep is None else passes(keep, _joint(hx[:, None], hy[None, :]))
-    return ["D" + "|".join(sorted((xs[i], ys[j]))) for i, j in zip(*np.nonzero(wanted), strict=True)]
+    return None if len(a) < 3 or len(b) < 2 else (a, b)
+
+
+def slips(p: Parts, first: tuple[str | None, str | None], second: tuple[str | None, str | None], keep: np.ndarray | None = None) -> list[str]:
+    """Forms that a full name shares with another whose parts are each at most one slip of a letter away, in either order."""
+    parts = slip_parts(p, first, second)
+    return [form for _, form in slip_forms([("", *parts)], keep)] if parts else []
+
+
+def slip_forms(names: list[tuple[str, str, str]], keep: np.ndarray | None = None) -> list[tuple[str, str]]:
+    """(key, form) of slips from (key, sound, sound) of full names, all of them or those that may be wanted, which are sought for many names at once."""
+    out: list[tuple[str, str]] = []
+    if keep is None:
+        for k, a, b in names:
+            out += [(k, f"D{x}|{y}" if x <= y else f"D{y}|{x}") for x in _deleted(a)[0] for y in _deleted(b)[0]]
+        return out
+    begin = 0
+    while begin < len(names):
+        end, size = begin, 0
+        while end < len(names) and (end == begin or size < SLIPS_AT_ONCE):
+            size += (len(names[end][1]) + 1) * (len(names[end][2]) + 1)
+            end += 1
+        some = names[begin:end]
+        one, two = [_deleted(a) for _, a, _ in some], [_deleted(b) for _, _, b in some]
+        na, nb = np.array([len(x) for x, _ in one]), np.array([len(y) for y, _ in two])
+        # places of the first and of the second part's remains, for each pair of them within each name
+        i = np.repeat(np.arange(na.sum()), np.repeat(nb, na))
+        owner = np.repeat(np.arange(len(some)), na * nb)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+        j = (np.cumsum(nb) - nb)[owner] + within % nb[owner]
+        hit = np.flatnonzero(passes(keep, _joint(np.concatenate([h for _, h in one])[i], np.concatenate([h for _, h in two])[j])))
+        first = i - (np.cumsum(na) - na)[owner]
+        for n, x, y in zip(owner[hit].tolist(), first[hit].tolist(), (within % nb[owner])[hit].tolist(), strict=True):
+            out.append((some[n][0], "D" + "|".join(sorted((one[n][0][x], two[n][0][y])))))
+        begin = end
+    return out
 
 
 def kept(rows: list[tuple[str, str, str]], key: str, keep: Broadcast | None) -> pd.DataFrame:

@@ -57,3 +57,28 @@ def test_empty_tables_and_confidence(spark, tmp_path):
     assert found(spark, tmp_path / "a", [], []) == []
     (row,) = found(spark, tmp_path / "b", [page("exact", "霜沢陽葉", "1970-03-17", "灯川町")] * 2, query=p3_confidence)
     assert row[:2] == ("exact", "1") and 0.5 < row[2] <= 1
+
+
+def test_slips_of_many_names_are_sought_at_once(monkeypatch):
+    """A batch of names asks the filter a few times, not once for each name, and gives what names alone give."""
+    import numpy as np
+    import pandas as pd
+
+    from corvane.llm import variants
+    from corvane.llm.filters import BITS
+    from corvane.llm.names import Parts
+
+    names = [(f"k{i}{j}", f"sa{'kmt'[i % 3]}u{'rnh'[i // 3]}a", f"ha{'rnk'[j % 3]}o{'mst'[j // 3]}i") for i in range(9) for j in range(9)]
+    forms = {k: variants.slips(Parts("full", a, b), (a, a), (b, b)) for k, a, b in names}
+    wanted = sorted({f for fs in forms.values() for f in fs})[::7]
+    bits = np.zeros(BITS, np.uint8)
+    bits[(variants.form_hashes(wanted).view(np.int64) % BITS).astype(np.int64)] = 1
+    calls = []
+    asks = variants.passes
+    monkeypatch.setattr(variants, "passes", lambda *a: calls.append(1) or asks(*a))
+    keep = type("Keep", (), {"value": np.packbits(bits)})
+    batch = pd.DataFrame([(k, "full", a, b, "F", a, a, b, b, True) for k, a, b in names], columns=["entity", "kind", "first", "second", "order", "first_f", "first_g", "second_f", "second_g", "latin"])
+    (got,) = lk._forms("entity", False, keep)(iter([batch]))
+    found_forms = {(k, f) for k, f in got.itertuples(index=False) if f.startswith("D")}
+    assert found_forms == {(k, f) for k, fs in forms.items() for f in fs if f in set(wanted)}
+    assert len(calls) <= 3
