@@ -145,33 +145,49 @@ def _forms(key: str, stated: bool, keep: Broadcast | None):
 
 
 def all_forms(names: DataFrame, key: str, stated: bool, keep: Broadcast | None = None) -> DataFrame:
-    """(`key`, `form`) of rewritings, slips and partial forms; short forms only where they are typed or may be met by typed ones."""
-    return names.mapInPandas(_forms(key, stated, keep), f"{key} string, form string").distinct()
+    """(`key`, `form`) of rewritings, slips and partial forms; short forms only where they are typed or may be met by typed ones. Names may share a form, which comes several times then."""
+    return names.mapInPandas(_forms(key, stated, keep), f"{key} string, form string")
 
 
-def stated_forms(page_forms: DataFrame, page_facts: DataFrame) -> DataFrame:
-    """(`page`, `form`, `date`, `level`, `place`): the forms of each page beside what else it states."""
-    return page_forms.join(page_facts, "page", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+def stated_forms(names: DataFrame, page_facts: DataFrame) -> DataFrame:
+    """(`page`, `form`, `date`, `level`, `place`): the forms of each page's names beside what else it states.
 
+    The facts are joined to the names, which are far fewer than the forms. A form that several names of a page share comes once or a few times.
+    """
+    make = _forms("page", True, None)
+    facts = ["date", "level", "place"]
+
+    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = b.drop_duplicates("page").set_index("page")[facts]
+            for forms in make(iter([b])):
+                yield forms.drop_duplicates().join(said, on="page")[["page", "form", *facts]]
+
+    known = names.join(page_facts, "page", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    return known.mapInPandas(beside, "page string, form string, date date, level int, place string")
 
-def attribute_edges(left: DataFrame, entity_forms: DataFrame, entities: DataFrame) -> DataFrame:
-    """The candidate graph of `stated_forms`, which are read several times: (`page`, `entity`) with what both ends share and how rare it is.
+
+def attribute_edges(stated: DataFrame, entity_forms: DataFrame, entities: DataFrame) -> DataFrame:
+    """The candidate graph of `stated_forms`, which are read several times: each (`page`, `entity`) once, with what both ends share and how rare it is.
 
     Names meet by equi-join on the form and, where both state one, the exact date or one a slip away, else the year of
     birth (family names alone only on dates); a side without date meets the bearers of forms that suffice alone, those of other
     forms where both sides state one place. Edges of ends whose dates conflict, and those that even the best agreement leaves above
-    CHANCE, are left out, the latter before they are made where a form tells.
+    CHANCE, are left out, the latter before they are made where a form tells. Of the forms that both ends share that of the fewest bearers counts.
     """
-    offered = cut_lineage(entity_forms.join(left.select("form").distinct(), "form", "left_semi").join(entities, "entity"))
-    df = cut_lineage(offered.groupBy("form").agg(F.count("*").alias("bearing"), persons().alias("bearers")).withColumn("spread", F.col("bearers") - 1 + UNSEEN))
+    # wanted: a page without date states the form; open: an entity without date bears it
+    asked = stated.groupBy("form").agg(F.max(F.col("date").isNull()).alias("wanted"))
+    offered = cut_lineage(entity_forms.join(asked, "form").join(entities, "entity").distinct())
+    counts = [F.count("*").alias("bearing"), persons().alias("bearers"), F.max(F.col("year").isNull()).alias("open")]
+    df = cut_lineage(offered.groupBy("form").agg(*counts).withColumn("spread", F.col("bearers") - 1 + UNSEEN))
     right = cut_lineage(offered.join(df, "form"))
+    left = cut_lineage(stated.join(df.select("form", "bearing", "spread", "open"), "form"))
     e = right.alias("e")
     slips = F.array("date", *[F.date_add("date", n) for n in _SLIPS], F.try_to_date(F.date_format("date", "yyyy-dd-MM"), "yyyy-MM-dd"))
     family = F.col("form").startswith("F")
     # forms of few bearers meet within the year, as do those of many, but by the days that may fit, so that no bucket grows without bound
     keyed = family | (F.col("bearing") > SPLIT)
-    wide = df.where(keyed).select("form")
-    exact = left.where("level = 3").join(wide, "form", "left_semi").withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
+    exact = left.where("level = 3").where(keyed).withColumn("_key", F.explode(F.array_distinct(F.array_compact(slips))))
     days = e.where("level = 3").where(keyed)
     by_key = exact.alias("p").join(days, (F.col("p.form") == F.col("e.form")) & (F.col("p._key") == F.col("e.date")) & (F.col("p.form").startswith("F") | (F.year("p.date") == F.col("e.year"))))
     # days of forms of few bearers, and dates of which one is coarser than a day, in one join
@@ -186,23 +202,28 @@ def attribute_edges(left: DataFrame, entity_forms: DataFrame, entities: DataFram
         x = joined.select("p.page", "e.entity", by.alias("by"), "e.bearers", "e.p_day", "e.p_year", "e.p_place", F.col("p.place").alias("pp"), F.col("e.place").alias("ep"))
         return x.where("by <> 'conflict'")
 
-    met = cut_lineage(edges(by_key).unionByName(edges(by_year)))
-    return met.unionByName(edges(_undated_pairs(left, right, df, same_places(met))))
+    # all else is told by the two ends
+    rarest = lambda x: x.groupBy(*[c for c in x.columns if c != "bearers"]).agg(F.min("bearers").alias("bearers"))
+    met = cut_lineage(rarest(edges(by_key).unionByName(edges(by_year))))
+    return met.unionByName(rarest(edges(_undated_pairs(left, right, same_places(met)))))
+
 
+def _undated_pairs(left: DataFrame, right: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs `p`, `e` of which one has no date: those of a form that suffices alone, and those that share a form and a place.
 
-def _undated_pairs(left: DataFrame, right: DataFrame, df: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs `p`, `e` of which one has no date: those of a form that suffices alone, and those that share a form and a place. Forms of many are joined in parts."""
+    Forms of many are joined in parts. Dated rows take part only with forms that a row without date on the other side has.
+    """
     at = cut_lineage(places)
     alone = F.col("spread") <= CHANCE
-    shape = df.select("form", "spread", (F.col("bearing") / SPLIT).cast("int").alias("_last"))
+    last = (F.col("bearing") / SPLIT).cast("int")
 
     def keyed(x: DataFrame) -> DataFrame:
         named = x.join(at, "place", "left").withColumn("at", F.when(alone, F.lit("")).otherwise(F.coalesce("same", "place")))
         return named.drop("same").where("at is not null")
 
-    asked = keyed(left.join(shape, "form")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    likely = right.where(alone | (F.col("spread") * F.col("p_place") <= CHANCE))
-    borne = keyed(likely).withColumn("part", F.pmod(F.xxhash64("entity"), (F.col("bearing") / SPLIT).cast("int") + 1).cast("int"))
+    asked = keyed(left.where("date is null or open")).withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    likely = right.where("year is null or wanted").where(alone | (F.col("spread") * F.col("p_place") <= CHANCE))
+    borne = keyed(likely).withColumn("part", F.pmod(F.xxhash64("entity"), last + 1).cast("int"))
     undated = F.col("p.date").isNull() | F.col("e.year").isNull()
     return asked.alias("p").join(borne.alias("e"), (F.col("p.form") == F.col("e.form")) & (F.col("p.at") == F.col("e.at")) & (F.col("p.part") == F.col("e.part")) & undated)
 

@@ -9,12 +9,17 @@ from corvane.llm.filters import text_filter
 from corvane.llm.linkage import all_forms, attribute_edges, link, pages, same_places, stated_forms, weigh
 from corvane.llm.variant_queries import people_entities, people_names, people_rows
 from corvane.llm.variants import character_forms, form_hashes, place_key, typed_names, with_rates, with_readings
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, freed_shuffles
 from corvane.sources.tables import table
 
 
 def _linked(spark: SparkSession, folder: str) -> DataFrame:
     """(`page`, `person_id`, `confidence`)."""
+    with freed_shuffles(spark):
+        return _links(spark, folder)
+
+
+def _links(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut_lineage(people_rows(spark, folder))
     forms = character_forms(rows, "name_ja", "name_zh")
     names, dictionary = people_names(rows, spark, folder, forms, with_aliases=False)
@@ -26,7 +31,7 @@ def _linked(spark: SparkSession, folder: str) -> DataFrame:
     at = stated.where("field = 'place'").select("page", place_key(F.col("value"), forms).alias("place")).join(places, "place", "left")
     at = at.groupBy("page").agg(F.max(F.coalesce("same", "place")).alias("place"))
     facts = stated.select("page").distinct().join(dates, "page", "left").join(at, "page", "left")
-    asked = cut_lineage(stated_forms(all_forms(typed, "page", True), facts))
+    asked = cut_lineage(stated_forms(typed, facts))
     offered = all_forms(names, "entity", False, text_filter(asked.select("form"), form_hashes))
     edges = cut_lineage(attribute_edges(asked, offered, known))
     # of an entity's rows the one that states most stands for it

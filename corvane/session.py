@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(cores: int = 8, app: str = "corvane", memory: str = "20g", checkpoints: str | None = None) -> SparkSession:
     """A local session with the settings that the engine relies on: UTC, AQE, Arrow. Checkpoints that nothing refers to any more are deleted."""
@@ -36,3 +40,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is computed within, checkpoints above all, are deleted as soon as each action ends.
+
+    Otherwise they stay until the driver happens to collect its garbage, so that disk holds the shuffles of all steps at once. What is read
+    again is computed again from the checkpoints.
+    """
+    before = spark.conf.get(_FREES, None)
+    spark.conf.set(_FREES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREES)
+        else:
+            spark.conf.set(_FREES, before)

@@ -82,3 +82,43 @@ def test_slips_of_many_names_are_sought_at_once(monkeypatch):
     found_forms = {(k, f) for k, f in got.itertuples(index=False) if f.startswith("D")}
     assert found_forms == {(k, f) for k, fs in forms.items() for f in fs if f in set(wanted)}
     assert len(calls) <= 3
+
+
+def test_each_pair_once_at_every_date(spark):
+    """However many forms two ends share they make one edge, that of the form which the fewest bear, whichever side lacks a date."""
+    dates = {"day": date(1970, 3, 17), "year": date(1970, 1, 1), "none": None}
+    levels = {"day": 3, "year": 1, "none": 0}
+    stated = [(f"p {k}", f"D{form}", dates[k], levels[k], "a") for k in dates for form in ("x|y", "x|z", "x|z", "w|y")]
+    asked = spark.createDataFrame(stated, "page string, form string, date date, level int, place string")
+    schema = "entity string, date date, level int, year int, place string, p_day double, p_year double, p_place double"
+    known = spark.createDataFrame([(f"e {k}", dates[k], levels[k], dates[k] and 1970, "a", 1e-4, 0.02, 0.01) for k in dates] + [("e other", date(1980, 5, 6), 3, 1980, "b", 1e-4, 0.02, 0.01)], schema)
+    forms = [(f"e {k}", f"D{form}") for k in dates for form in ("x|y", "x|z", "x|z")] + [("e other", "Dx|z"), ("e other", "Du|v")]
+    offered = spark.createDataFrame(forms, "entity string, form string")
+    got = rows(lk.attribute_edges(asked, offered, known), "page", "entity", "by", "bearers", "pp", "ep")
+    by = lambda p, e: "none" if "none" in (p, e) else "day" if p == e == "day" else "year"
+    assert got == sorted((f"p {p}", f"e {e}", by(p, e), 1, "a", "a") for p in dates for e in dates)
+
+
+def test_shuffles_are_freed_step_by_step(spark, tmp_path):
+    """Once the steps are computed none of their shuffles is left on disk, without any garbage collection."""
+    import time
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for f in files.getAllFiles().mkString("\n").split("\n") if (name := f.rsplit("/", 1)[-1]).startswith("shuffle_")}
+
+    people = [*BASE, person("n", "n", "霜沢陽葉", born=None)]
+    spark.createDataFrame(people, PEOPLE).write.parquet(f"{tmp_path}/people.parquet")
+    spark.createDataFrame([("a", "1", "Haruha Shimosawa")], ALIASES).write.parquet(f"{tmp_path}/person_aliases.parquet")
+    data = [(kind, None, url, field, raw) for kind, url, stated in [page("exact", "霜沢陽葉", "1970-03-17", "灯川町"), page("kana", "シモサワ ハルハ", "1970年3月17日")] for field, raw in stated]
+    spark.createDataFrame(data, OBSERVATIONS).write.parquet(f"{tmp_path}/observations.parquet")
+    kept = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(kept)
+    made = p3_found(spark, str(tmp_path))
+    until = time.time() + 20
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(kept) == setting
+    assert rows(made) == rows(made) == [("exact", "1"), ("kana", "1")]
